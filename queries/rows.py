@@ -134,16 +134,14 @@ def duplicate_marks(spark, folder):
 
 
 @query("""
-    SELECT p_partkey AS key, upper_size, price, capped, size_mod, size_pow, is_big, known FROM (
+    SELECT p_partkey AS key, upper_size, price, capped, size_mod, size_pow, is_big FROM (
       SELECT p_partkey, CAST(p_size AS DOUBLE) AS upper_size, round_even(p_retailprice, 0) AS price,
              least(greatest(p_size, 10), 40) AS capped, p_size - 7 * floor(p_size / 7.0) AS size_mod,
-             CAST(p_size AS DOUBLE) ** 2 AS size_pow, p_size >= 25 AS is_big,
-             p_brand IN ('Brand#1', 'Brand#2') AS known FROM part)""")
+             CAST(p_size AS DOUBLE) ** 2 AS size_pow, p_size >= 25 AS is_big FROM part)""")
 def column_verbs(spark, folder):
     df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
-    df = df.selectExpr("*", "p_size as capped", "p_size as size_mod", "p_size as size_pow", "p_size as is_big",
-                       "p_brand as known")
-    out = verbs.chain(df, [
+    df = df.selectExpr("*", "p_size as capped", "p_size as size_mod", "p_size as size_pow", "p_size as is_big")
+    return verbs.chain(df, [
         {"df.rename": {"columns": {"p_partkey": "key", "p_size": "upper_size", "p_retailprice": "price"}}},
         {"df.drop": {"columns": ["p_brand"]}},
         {"df.astype": {"dtype": {"upper_size": "float"}}},
@@ -153,10 +151,15 @@ def column_verbs(spark, folder):
         {"df.pow": {"other": 2, "columns": ["size_pow"]}},
         {"df.ge": {"other": 25, "columns": ["is_big"]}},
     ])
-    flags = verbs.call(out.select("known"), "isin", {"values": ["Brand#1", "Brand#2"]})  # shows the all-column form
-    assert flags.columns == ["known"]
-    known = F.col("known").isin("Brand#1", "Brand#2")
-    return out.withColumn("known", known)
+
+
+@query("""
+    SELECT p_brand IN ('Brand#1', 'Brand#2') AS p_brand, p_size IN (1, 2, 3) AS p_size, count(*) AS count
+    FROM part GROUP BY ALL""")
+def isin_flags(spark, folder):
+    df = table(spark, folder, "part").select("p_brand", "p_size")
+    flags = verbs.call(df, "isin", {"values": {"p_brand": ["Brand#1", "Brand#2"], "p_size": [1, 2, 3]}})
+    return verbs.call(flags, "value_counts")
 
 
 @query("""

@@ -81,15 +81,44 @@ def _walk(base: Column, path: tuple[str, ...]) -> Column:
     return base
 
 
+def _has(name: str, leaf: Leaf) -> Column:
+    """Does the record have this entry (a JSON null counts)?"""
+    steps = "".join("['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']" for key in leaf.path)
+    return F.try_variant_get(col(name), "$" + steps, "variant").isNotNull()
+
+
+def _either(test: Column, new: Column, new_type: T.DataType, old: Column, old_type: T.DataType) -> Column:
+    """New value where the test holds, else the old one, in a type that fits both."""
+    if new_type != old_type:
+        numbers = isinstance(new_type, T.NumericType) and isinstance(old_type, T.NumericType)
+        target = "double" if numbers else "string"
+
+        def fit(c: Column, dtype: T.DataType) -> Column:
+            nested = isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+            return F.to_json(c) if nested and not numbers else c.cast(target)
+
+        new, old = fit(new, new_type), fit(old, old_type)
+    return F.when(test, new).otherwise(old)
+
+
 def flatten_variant(df: DataFrame, name: str, dtype: T.StructType | None = None) -> DataFrame:
-    """Replace a variant column by its dotted columns; a dotted column replaces an existing one of that name."""
+    """Replace a variant column by its dotted columns.
+
+    Where a record has an entry, it replaces the value of an existing column of that name.
+    """
     dtype = variant_type(df, name) if dtype is None else dtype
     found = leaves(dtype)
     if not found:
         return df.drop(name)
+    types = {f.name: f.dataType for f in df.schema.fields}
     record = f"__{name}_record"
     df = df.withColumn(record, F.variant_get(col(name), "$", ddl(dtype)))
-    new = {leaf.name: _walk(col(record), leaf.path) for leaf in found}
+    new = {}
+    for leaf in found:
+        value = _walk(col(record), leaf.path)
+        if leaf.name in types and leaf.name != name:
+            value = _either(_has(name, leaf), value, leaf.dtype, col(leaf.name), types[leaf.name])
+        new[leaf.name] = value
     kept = [col(c) for c in df.columns if c not in new and c not in (name, record)]
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
 
