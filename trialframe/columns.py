@@ -75,10 +75,11 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure whether a frame fits the broadcast bound (reads at most ``max_rows + 1`` rows)."""
+    """Measure whether a frame fits the broadcast bound: its rows first, then their size as text."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        return False
     width = F.octet_length(F.to_json(F.struct("*")))
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.columns import as_list, col, dtype_of, key_struct
+from trialframe.session import settled
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 MAX_CHUNKS = 20_000
@@ -202,7 +203,7 @@ def running(
     rows = count_rows(df, names) if rows is None else rows
     split = rows > target
     if split:
-        df = with_chunks(df, order, rows, target).withColumn("__part", key_struct([*keys, CHUNK]))
+        df = with_chunks(settled(df), order, rows, target).withColumn("__part", key_struct([*keys, CHUNK]))
         group = [F.col("__part")]
     else:
         group = [col(k) for k in keys]
@@ -284,7 +285,7 @@ def framed(
         window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*sort_columns(order))
         return df.withColumns(build(window))
     size = max(target, behind, ahead, 1)
-    placed = positions(df, keys, order, rows=rows)
+    placed = positions(settled(df), keys, order, rows=rows)
     inner = F.col(PLACE) % F.lit(size)
     home = F.floor(F.col(PLACE) / F.lit(size)).cast("bigint")
     copies = F.array_compact(F.array(
@@ -330,11 +331,10 @@ def quantiles(
     """
     rows = count_rows(df, [value]) if rows is None else rows
     if rows <= chunk_rows(df):
-        number = col(value).cast("double")
-        return df.groupBy(*[col(k) for k in keys]).agg(
-            *[F.percentile(number, F.lit(p)).alias(out) for out, p in probabilities.items()]
-        )
-    x = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+        found = df.groupBy(*[col(k) for k in keys]).agg(F.percentile(col(value).cast("double"), wanted).alias("__q"))
+        return found.select(*[col(k) for k in keys], *[F.col("__q")[i].alias(o) for i, o in enumerate(probabilities)])
+    x = settled(df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v")))
     everyone = x.groupBy(*[col(k) for k in keys]).agg(F.count("__v").alias("__n"))
     counted = x.filter(F.col("__v").isNotNull()).groupBy(*[col(k) for k in keys], "__v").agg(
         F.count(F.lit(1)).alias("__m"))
@@ -411,6 +411,7 @@ def ranks(
             df = df.withColumn("__n", n.over(group))
             extra.append("__n")
     else:
+        df = settled(df)
         counts = df.filter(present).groupBy(*[col(k) for k in keys], col(value)).agg(F.count(F.lit(1)).alias("__m"))
         scans = {"__hi": Scan("sum", "__m"), "__dense": Scan("count")}
         counts = running(counts, keys, key, scans)

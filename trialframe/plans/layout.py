@@ -28,6 +28,7 @@ from trialframe.operators.ordered import (
     quantiles,
     running,
 )
+from trialframe.session import cut, settled
 
 METRIC, UNIT = "$metrics$", "$metric_unit$"
 
@@ -168,6 +169,7 @@ def with_ordinals(df: DataFrame, levels: Sequence[Level], allowed: Mapping[str,
             window = Window.partitionBy(*[col(p) for p in parents]).orderBy(*[k.sort() for k in order])
             df = df.withColumn(out, F.dense_rank().over(window).cast("bigint") - 1)
         else:
+            df = settled(df)
             numbered = dense_places(df, parents, order, out)
             df = join_keys(df, numbered, [*parents, *[k.name for k in order]])
         parents.append(out)
@@ -394,7 +396,8 @@ def chart_tables(df: DataFrame, options: Mapping, hooks: Hooks = Hooks()) -> dic
     df = _hooked(hooks.pre_metrics, df)
     wide = _hooked(hooks.pre_filter, fan_out(df, metrics))
     columns = [c for c in _all_columns(options)]
-    wide = _hooked(hooks.pre_group, allowed_filter(wide, columns, allowed))
+    # several tables are built from these rows, so they are computed once
+    wide = cut(_hooked(hooks.pre_group, allowed_filter(wide, columns, allowed)))
     figure = _foreach(options.get("fig_foreach"), "fig")
 
     tables: dict[str, list[DataFrame]] = {"data": [], "subplots": [], "bars": [], "boxes": []}

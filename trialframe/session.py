@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -36,3 +38,29 @@ def shared_folder(spark: SparkSession) -> str:
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the frame to a table in the shared folder once and continue from there.
+
+    Later steps read only the columns they need, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = new_shared_path(df.sparkSession, "frame")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def needs_shuffle(df: DataFrame) -> bool:
+    """Does computing the frame move rows between tasks?"""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return "Exchange" in text.getvalue()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A frame that is about to be read several times: written out if it is costly to compute, else unchanged.
+
+    A plain scan is cheaper to read again (each reader prunes its columns) than to copy.
+    """
+    return cut(df) if needs_shuffle(df) else df
