@@ -13,10 +13,9 @@ from pyspark.sql import types as T
 from trialframe.columns import all_of, as_list, col, dtype_of, is_nested, is_numeric, join_keys, require_columns
 from trialframe.operators.ordered import (
     OrderKey,
-    count_rows,
+    column_quantiles,
     edge_rows,
     order_keys,
-    quantiles,
 )
 
 DEFAULT_FUNCTIONS = ["mean", "min", "max", "std", "count"]
@@ -139,9 +138,9 @@ def aggregate(
         parts.append(grouped.agg(*one_pass) if one_pass else df.select(*[col(k) for k in keys]).distinct())
     wanted = [f for f in functions if f in QUANTILE]
     if wanted:
-        rows = count_rows(df, list(data_columns)[:1])
-        for c in data_columns:
-            parts.append(quantiles(df, keys, c, {names(c, f): QUANTILE[f] for f in wanted}, rows=rows))
+        function_of = {QUANTILE[f]: f for f in wanted}
+        parts.append(column_quantiles(df, keys, list(data_columns), list(function_of),
+                                      lambda c, p: names(c, function_of[p])))
     if TAIL in functions:
         slim = df.select(*[col(n) for n in dict.fromkeys(
             [*keys, *data_columns, *[k.name for k in order_keys(order_by)]])])
@@ -226,14 +225,12 @@ def group_aggregate(
 def describe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles (exact) and max per numeric column; one row per statistic."""
     names = list(names) if names else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    rows = count_rows(df, names[:1])
     stats = {
         "count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp,
         "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
     }
     parts = [df.agg(*[f(col(c)).alias(f"{c}|{s}") for c in names for s, f in stats.items()])]
-    for c in names:
-        parts.append(quantiles(df, [], c, {f"{c}|25%": 0.25, f"{c}|50%": 0.5, f"{c}|75%": 0.75}, rows=rows))
+    parts.append(column_quantiles(df, [], names, [0.25, 0.5, 0.75], lambda c, p: f"{c}|{p:.0%}"))
     wide = _side_by_side(parts)
     labels = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     table = F.array(*[

@@ -365,6 +365,33 @@ def quantiles(
         found.withColumn(joint, key_struct(keys)).drop(*keys), joint, "left").drop(joint)
 
 
+def column_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    name: Callable[[str, float], str],
+    rows: int | None = None,
+) -> DataFrame:
+    """Exact quantiles of several columns; ``name(column, probability)`` gives the output names.
+
+    All columns go through one pass in long form instead of one pass each.
+    """
+    if len(columns) == 1:
+        only = columns[0]
+        return quantiles(df, keys, only, {name(only, p): p for p in probabilities}, rows=rows)
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("__column"), col(c).cast("double").alias("__value")) for i, c in enumerate(columns)])
+    long = df.select(*[col(k) for k in keys], F.inline(cells))
+    marks = {f"__p{j}": p for j, p in enumerate(probabilities)}
+    total = None if rows is None else rows * len(columns)
+    found = quantiles(long, [*keys, "__column"], "__value", marks, rows=total)
+    return found.groupBy(*[col(k) for k in keys]).agg(*[
+        F.max(F.when(F.col("__column") == i, F.col(mark))).alias(name(c, p))
+        for i, c in enumerate(columns) for mark, p in marks.items()
+    ])
+
+
 # ---------------------------------------------------------------- ranks
 
 def ranks(

@@ -22,11 +22,12 @@ from trialframe.operators import transforms as tf
 from trialframe.operators.ordered import (
     PLACE,
     Scan,
+    column_quantiles,
     count_rows,
+    edge_rows,
     framed,
     order_keys,
     positions,
-    quantiles,
     ranks,
     running,
 )
@@ -450,13 +451,12 @@ def quantile(df: DataFrame, q=0.5, columns=None) -> DataFrame:
     """Exact quantiles; one row per probability."""
     names = _numeric(df, columns)
     probabilities = as_list(q)
-    rows = count_rows(df, names[:1])
-    parts = [quantiles(df, [], c, {f"{c}|{p}": p for p in probabilities}, rows=rows) for c in names]
+    wide = column_quantiles(df, [], names, probabilities, lambda c, p: f"{c}|{p}")
     table = F.array(*[
         F.struct(F.lit(float(p)).alias("quantile"), *[col(f"{c}|{p}").alias(c) for c in names])
         for p in probabilities
     ])
-    return agg._side_by_side(parts).select(F.inline(table))
+    return wide.select(F.inline(table))
 
 
 def idx_extreme(df: DataFrame, by: str, keys=(), order_by=(), largest: bool = True) -> DataFrame:
@@ -582,12 +582,14 @@ class Rolling:
         df, keys, names = _series(self.source, self.order_by, columns)
         ahead = (self.window - 1) // 2 if self.center else 0
         behind = self.window - 1 - ahead
-        need = self.window if self.min_periods is None else self.min_periods
+        need = (0 if func == "count" else self.window) if self.min_periods is None else self.min_periods
 
         def build(window) -> dict[str, Column]:
             frame = window.rowsBetween(-behind, ahead)
+            # a count is a result for missing values too, so it only asks for enough rows
+            seen = {c: F.lit(1) if func == "count" else col(c) for c in names}
             return {
-                c + suffix: F.when(F.count(col(c)).over(frame) >= need, FRAME_FUNCTIONS[func](col(c)).over(frame))
+                c + suffix: F.when(F.count(seen[c]).over(frame) >= need, FRAME_FUNCTIONS[func](col(c)).over(frame))
                 for c in names
             }
 
@@ -607,7 +609,7 @@ class Expanding:
             raise ValueError(f"expanding has no {func!r}")
         df, keys, names = _series(self.source, self.order_by, columns)
         df = df.withColumns({f"__one{i}": F.when(col(c).isNotNull(), F.lit(1)) for i, c in enumerate(names)})
-        scans = {f"__n{i}": Scan("sum", f"__one{i}") for i in range(len(names))}
+        scans = {f"__n{i}": Scan("sum", f"__one{i}") for i in range(len(names))} | {"__rows": Scan("count")}
         spread = func in ("std", "var")
         if spread:
             # sums of squares around a fixed centre per column keep their precision
@@ -631,8 +633,9 @@ class Expanding:
             else:
                 value = {"sum": s, "mean": F.try_divide(s, n) if s is not None else None, "min": s, "max": s,
                          "count": n.cast("double")}[func]
-            values[c + suffix] = F.when(n >= self.min_periods, value)
-        helper = [f"__{t}{i}" for t in ("one", "n", "s", "t", "d", "q") for i in range(len(names))]
+            seen = F.col("__rows") if func == "count" else n
+            values[c + suffix] = F.when(seen >= self.min_periods, value)
+        helper = ["__rows", *[f"__{t}{i}" for t in ("one", "n", "s", "t", "d", "q") for i in range(len(names))]]
         return done.withColumns(values).drop(*helper)
 
 
@@ -822,8 +825,6 @@ def _size(obj) -> DataFrame:
 
 
 def _pick(obj, n: int, order_by, last: bool) -> DataFrame:
-    from trialframe.operators.ordered import edge_rows
-
     if isinstance(obj, Grouped):
         return edge_rows(obj.frame(), list(obj.keys), order_by, n, last=last)
     return tail(obj, order_by, n) if last else head(obj, order_by, n)
