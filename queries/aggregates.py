@@ -163,8 +163,7 @@ def frame_aggregates(spark, folder):
     df = table(spark, folder, "lineitem").selectExpr("l_quantity as q", "l_discount as d")
     sums = verbs.call(df, "agg", {"func": {"q": ["sum", "max", "median", "nunique"], "d": ["min"]}})
     tail = verbs.call(df, "quantile", {"q": 0.9, "columns": ["d"]}).select(F.col("d").alias("d_q90"))
-    joined = sums.withColumn("one", F.lit(1)).join(tail.withColumn("one", F.lit(1)), "one").drop("one")
-    return joined.withColumn("q_sum", F.col("q_sum").cast("bigint"))
+    return agg.side_by_side([sums, tail]).withColumn("q_sum", F.col("q_sum").cast("bigint"))
 
 
 @query("""

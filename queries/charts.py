@@ -64,16 +64,21 @@ def metric_values(spark, folder):
 
 
 @query("""
-    SELECT DISTINCT r_name, c_mktsegment, dense_rank() OVER (ORDER BY r_name) - 1 AS row_idx,
-           dense_rank() OVER (PARTITION BY r_name ORDER BY c_mktsegment) - 1 AS col_idx, 0 AS fig_idx,
-           5 AS n_rows, 5 AS n_cols, true AS is_grid
-    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+    WITH i AS (SELECT DISTINCT r_name, n_name, c_mktsegment
+               FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+    r AS (SELECT r_name, n_name, count(*) AS n FROM i GROUP BY ALL),
+    g AS (SELECT r_name, count(*) AS n_rows, max(n) AS n_cols, min(n) = max(n) AS is_grid FROM r GROUP BY ALL)
+    SELECT r_name, n_name, c_mktsegment, dense_rank() OVER (ORDER BY r_name) - 1 AS fig_idx,
+           dense_rank() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS row_idx,
+           dense_rank() OVER (PARTITION BY r_name, n_name ORDER BY c_mktsegment) - 1 AS col_idx, n_rows, n_cols, is_grid
+    FROM i JOIN g USING (r_name)""")
 def grid_index(spark, folder):
     nations = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     ids = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "r_name", "c_mktsegment").distinct()
-    placed = layout.with_ordinals(ids, [Level("fig"), Level("row", ["r_name"]), Level("col", ["c_mktsegment"])])
+        "r_name", "n_name", "c_mktsegment").distinct()
+    levels = [Level("fig", ["r_name"]), Level("row", ["n_name"]), Level("col", ["c_mktsegment"])]
+    placed = layout.with_ordinals(ids, levels)
     return placed.join(layout.grid_shape(placed), "fig_idx")
 
 

@@ -25,17 +25,15 @@ def job_progress(spark, folder):
     return jobs.progress(states(spark, folder))
 
 
-@query(f"""
-    SELECT c_custkey AS suite, y AS suite_id, coalesce(is_complete, false) AS is_complete
-    FROM customer, (SELECT DISTINCT year(o_orderdate) AS y FROM orders)
-    LEFT JOIN (SELECT suite, suite_id, bool_and(is_complete) AS is_complete FROM {EXPERIMENTS} GROUP BY ALL) e
-      ON e.suite = c_custkey AND e.suite_id = y""")
+@query("""
+    SELECT o_custkey AS suite, year(o_orderdate) AS suite_id,
+           count(*) FILTER (o_orderpriority <> '1-URGENT') > 0
+             AND bool_and(o_orderstatus = 'F' OR o_orderpriority = '1-URGENT') AS is_complete
+    FROM orders GROUP BY ALL""")
 def suite_completeness(spark, folder):
-    years = table(spark, folder, "orders").select(F.year("o_orderdate").alias("suite_id")).distinct()
-    every = years.agg(F.collect_set("suite_id").alias("ids"))  # calendar years
-    runs = table(spark, folder, "customer").select(F.col("c_custkey").alias("suite"), F.lit(1).alias("one")).join(
-        F.broadcast(every.withColumn("one", F.lit(1))), "one").select("suite", F.explode("ids").alias("suite_id"))
-    return jobs.suite_complete(runs, jobs.progress(states(spark, folder)))
+    every = states(spark, folder)
+    known = jobs.progress(every.filter("exp_name <> '1-URGENT'"))
+    return jobs.suite_complete(every.select("suite", "suite_id").distinct(), known)
 
 
 @query("""

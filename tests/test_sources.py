@@ -130,7 +130,7 @@ def test_paths(spark):
     assert names.select(paths.job_path(F.lit("w"), F.lit("s"), F.lit("1"), F.lit("e"), F.lit(0), F.lit(2))).first()[0] == \
         "w/s_1/e/run_0/rep_2"
     assert names.select(paths.trailing_number(F.lit("run_13"))).first()[0] == 13
-    assert paths.suite_paths("/r/", "s", "1", ["a", "b"]) == ["/r/s_1/a", "/r/s_1/b"]
+    assert paths.suite_paths("/r/", "s", "1", ["a", "b"]) == ["/r/s_1/{a,b}"]
 
 
 def test_catalog_and_states(spark, tree):

@@ -147,15 +147,18 @@ def aggregate(
         last_rows = edge_rows(slim, keys, order_by, tail_length, last=True)
         parts.append(last_rows.groupBy(*[col(k) for k in keys]).agg(
             *[F.avg(col(c)).alias(names(c, TAIL)) for c in data_columns]))
-    result = reduce(lambda a, b: join_keys(a, b, keys), parts) if keys else _side_by_side(parts)
+    result = reduce(lambda a, b: join_keys(a, b, keys), parts) if keys else side_by_side(parts)
     ordered = [*keys, *[names(c, f) for c in data_columns for f in functions]]
     return result.select(*[col(n) for n in ordered])
 
 
-def _side_by_side(parts: list[DataFrame]) -> DataFrame:
-    """Put one-row frames next to each other."""
-    tagged = [p.withColumn("__one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "__one"), tagged).drop("__one")
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Put one-row frames next to each other: stacked with empty columns, then the present value per column."""
+    if len(parts) == 1:
+        return parts[0]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for p in parts for c in p.columns]
+    return stacked.agg(*[F.first(col(c), ignorenulls=True).alias(c) for c in names])
 
 
 # ---------------------------------------------------------------- factor columns
@@ -231,7 +234,7 @@ def describe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     }
     parts = [df.agg(*[f(col(c)).alias(f"{c}|{s}") for c in names for s, f in stats.items()])]
     parts.append(column_quantiles(df, [], names, [0.25, 0.5, 0.75], lambda c, p: f"{c}|{p:.0%}"))
-    wide = _side_by_side(parts)
+    wide = side_by_side(parts)
     labels = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     table = F.array(*[
         F.struct(F.lit(s).alias("statistic"), *[col(f"{c}|{s}").alias(c) for c in names]) for s in labels

@@ -443,7 +443,7 @@ def summarize(df: DataFrame, func, columns=None, order_by=None) -> DataFrame:
 def aggregate_verb(df: DataFrame, func, order_by=None) -> DataFrame:
     if isinstance(func, Mapping):
         parts = [agg.aggregate(df, [], [c], as_list(f), order_by=order_by) for c, f in func.items()]
-        return agg._side_by_side(parts)
+        return agg.side_by_side(parts)
     return summarize(df, func, order_by=order_by)
 
 

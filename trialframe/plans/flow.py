@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from inspect import signature
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -365,16 +366,19 @@ def results_frame(spark: SparkSession, root: str, body: Mapping, ids: Mapping, d
         names = as_list(wanted) if wanted != "*" else None
         if names is None:
             names = [k for k in _design_of(designs, suite, ids) if not k.startswith("$")]
+        per_id: dict[str, list[str]] = {}
         for experiment, suite_id in experiment_ids(suite, names, ids).items():
+            per_id.setdefault(suite_id, []).append(experiment)
+        for suite_id, experiments in per_id.items():
             design = designs[(suite, suite_id)]
-            check_experiments([experiment], [k for k in design if not k.startswith("$")])
-            factors = {experiment: factor_columns(design[experiment])}
+            check_experiments(experiments, [k for k in design if not k.startswith("$")])
+            factors = {e: factor_columns(design[e]) for e in experiments}
             try:
-                df = extract(spark, root, suite, suite_id, [experiment], extractors, factors, registry.readers)
-            except Exception as e:
-                if "PATH_NOT_FOUND" in str(e):
-                    continue
-                raise
+                df = extract(spark, root, suite, suite_id, experiments, extractors, factors, registry.readers)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue  # none of these experiments has results yet
             if df is not None:
                 frames.append(df)
     return tf.union_by_name(frames) if frames else None

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialframe.columns import broadcast_if_small, col
 from trialframe.functions.flatten import flatten_variant, variant_type
@@ -24,22 +25,26 @@ def run_configs(docs: DataFrame) -> DataFrame:
     return keyed.select(*JOB_KEYS, F.parse_json("content").alias("config"))
 
 
-def flat_configs(configs: DataFrame) -> tuple[DataFrame, list[str]]:
+def flat_configs(configs: DataFrame, dtype: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
     """Run configurations as dotted columns, and the names of these columns."""
-    flat = flatten_variant(configs, "config")
+    flat = flatten_variant(configs, "config", dtype)
     names = [c for c in flat.columns if c not in JOB_KEYS and c.split(".")[0] not in LEVEL_KEYS]
     return flat.select(*JOB_KEYS, *[col(n) for n in names]), names
 
 
-def records_with_configs(records: DataFrame, configs: DataFrame) -> DataFrame:
+def records_with_configs(records: DataFrame, configs: DataFrame, record_type: T.StructType | None = None,
+                         config_type: T.StructType | None = None) -> DataFrame:
     """Join records with the configuration of their repetition; records without one are left out.
 
-    On equal names the record wins over the configuration and the configuration over the job keys.
+    On equal names the record wins over the configuration and the configuration over the job keys. The types of the
+    columns are found by a pass over the data unless they are given.
     """
-    flat, names = flat_configs(configs)
+    flat, names = flat_configs(configs, config_type)
     renamed = flat.select(*JOB_KEYS, *[col(n).alias(f"__config:{n}") for n in names])
     joined = records.join(broadcast_if_small(renamed), JOB_KEYS, "inner")
-    found = variant_type(records, "record") if "record" in records.columns else None
+    found = None
+    if "record" in records.columns:
+        found = variant_type(records, "record") if record_type is None else record_type
     own = [c for c in records.columns if c not in names and c != "record"]
     merged = joined.select(
         *[col(c) for c in own], *[col(f"__config:{n}").alias(n) for n in names],
@@ -61,10 +66,13 @@ def extract(
     extractors: Mapping[str, fm.Extractor],
     factors: Mapping[str, Sequence[str]] | None = None,
     custom: Mapping[str, object] | None = None,
+    record_type: str | None = None,
+    config_type: str | None = None,
 ) -> DataFrame | None:
     """The results table of some experiments of one suite run, or None when there are no records.
 
-    ``custom`` maps extractor names to functions ``documents -> records`` for formats of one's own.
+    ``custom`` maps extractor names to functions ``documents -> records`` for formats of one's own. Known types of
+    records and configurations (as ``a bigint, b struct<...>``) save the passes that find them.
     """
     paths = suite_paths(root, suite, suite_id, experiments)
     fm.require_coverage(with_file_keys(file_list(spark, paths)), dict(extractors))
@@ -93,11 +101,11 @@ def extract(
     if not parts:
         return None
     records = fm.drop_empty(union_by_name(parts))
-    for e in experiments:
-        names = list((factors or {}).get(e, []))
-        literal = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-        mark = F.when(F.col("exp_name") == e, literal)
-        previous = F.col("factor_columns") if "factor_columns" in records.columns else F.lit(None).cast("array<string>")
-        records = records.withColumn("factor_columns", F.coalesce(mark, previous))
+    known = {e: list((factors or {}).get(e, [])) for e in experiments}
+    by_experiment = F.create_map(*[
+        x for e, names in known.items() for x in (F.lit(e), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
+    records = records.withColumn("factor_columns", F.try_element_at(by_experiment, F.col("exp_name")))
     records = records.select(*FILE_KEYS[:-1], "factor_columns", "source_file", "record")
-    return records_with_configs(records, run_configs(documents(spark, paths, [r"config\.json$"])))
+    configs = run_configs(documents(spark, paths, [r"config\.json$"]))
+    return records_with_configs(records, configs, record_type and T.StructType.fromDDL(record_type),
+                                config_type and T.StructType.fromDDL(config_type))

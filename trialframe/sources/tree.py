@@ -72,9 +72,9 @@ def matches_any(name: Column, patterns: Sequence[str]) -> Column:
 
 
 def suite_paths(root: str, suite: str, suite_id: str, experiments: Sequence[str] | None = None) -> list[str]:
-    """Folders to scan: naming them keeps Spark from listing the other experiments."""
+    """Folders to scan: naming the experiments keeps Spark from listing the others; absent ones are left out."""
     base = f"{root.rstrip('/')}/{suite}_{suite_id}"
-    return [base] if experiments is None else [f"{base}/{e}" for e in experiments]
+    return [base] if experiments is None else [f"{base}/{{{','.join(experiments)}}}"]
 
 
 def documents(spark: SparkSession, paths: Sequence[str], patterns: Sequence[str] | None = None) -> DataFrame:
