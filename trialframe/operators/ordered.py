@@ -1,9 +1,10 @@
 """Ordered computations (running values, offsets, frames, positions) that hold when one group is huge.
 
-A plain window sends a whole group to one task. Here a group is cut into consecutive chunks along its order:
-chunk borders are quantiles of the order columns, so a group with a third of all rows is spread over about a
-third of the chunks. Every chunk is processed on its own; a small table with one row per (group, chunk) carries
-totals forward. Inputs whose counted size is below ``spark.trialframe.chunkRows`` use the plain window.
+A plain window sends a whole group to one task. That is fine for groups of bounded size, and Spark does the rest.
+A group above the bound (``spark.trialframe.chunkRows``, or a 20,000th of the input if that is more) is cut into
+consecutive chunks along its order: chunk borders are quantiles of the order columns over the rows of such groups, so
+a group with a third of all rows is spread over many chunks. Every chunk is processed on its own, and a small table
+with one row per (group, chunk) carries totals forward.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.columns import as_list, col, dtype_of, key_struct
-from trialframe.session import settled
+from trialframe.session import cut, settled
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 MAX_CHUNKS = 20_000
 CHUNK = "__chunk"
 PLACE = "__place"
+GROUP = "__group"
+LARGE = "__large"
 
 
 # ---------------------------------------------------------------- order
@@ -113,22 +116,23 @@ def _borders(df: DataFrame, digit: Column, pieces: int) -> tuple[list[float], se
     return sorted(c for c in cuts if math.isfinite(c)), heavy
 
 
-def with_chunks(df: DataFrame, order, rows: int, target: int) -> DataFrame:
-    """Add a chunk number that grows with the order and holds about ``target`` rows per value."""
+def with_chunks(df: DataFrame, order, rows: int, target: int, source: DataFrame | None = None) -> DataFrame:
+    """Add a chunk number that grows with the order and holds about ``target`` rows per value.
+
+    Borders are taken from ``source`` (``rows`` rows, by default the frame itself).
+    """
     keys = order_keys(order)
     number = F.lit(0).cast("bigint")
     inside_heavy = F.lit(True)
-    todo = df
+    todo = df if source is None else source
+    share = rows
     temp: list[str] = []
-    done = False
     for key in keys:
         digits, exact = _digits(key, dtype_of(df, key.name))
-        # missing values sort last in both directions; text that is missing gets the same treatment
         for digit in digits:
             share = todo.count() if temp else rows
             pieces = min(MAX_CHUNKS, -(-share // target))
             if pieces < 2:
-                done = True
                 break
             cuts, heavy = _borders(todo, digit, pieces)
             if not cuts:
@@ -136,21 +140,47 @@ def with_chunks(df: DataFrame, order, rows: int, target: int) -> DataFrame:
             raw, out = f"__chunk_digit{len(temp)}", f"__chunk_bucket{len(temp)}"
             df = df.withColumn(raw, F.coalesce(digit, F.lit(0.0)))
             df = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=raw, outputCol=out).transform(df)
-            span = len(cuts) + 2
             place = F.col(out).cast("bigint")
             if not key.ascending:
                 place = F.lit(len(cuts)).cast("bigint") - place
+            # missing values sort last in both directions
             place = F.when(col(key.name).isNull(), F.lit(len(cuts) + 1).cast("bigint")).otherwise(place)
-            number = number * F.lit(span) + F.when(inside_heavy, place).otherwise(F.lit(0).cast("bigint"))
+            number = number * F.lit(len(cuts) + 2) + F.when(inside_heavy, place).otherwise(F.lit(0).cast("bigint"))
             temp += [raw, out]
-            now = digit.isin(sorted(heavy)) if heavy else F.lit(False)
-            inside_heavy = inside_heavy & F.coalesce(now | col(key.name).isNull(), F.lit(False))
-            todo = todo.filter(F.coalesce(now | col(key.name).isNull(), F.lit(False)))
-        if done or not exact:
+            # only rows that share one frequent value are cut further, by what comes next in the order
+            same = (digit.isin(sorted(heavy)) if heavy else F.lit(False)) | col(key.name).isNull()
+            same = F.coalesce(same, F.lit(False))
+            inside_heavy = inside_heavy & same
+            todo = todo.filter(same)
+        if share // target < 1 or not exact:
             break
     return df.withColumn(CHUNK, number).drop(*temp)
 
 
+def group_bound(rows: int, target: int) -> int:
+    """Groups up to this size are left to one task; at most 20,000 groups can be larger."""
+    return max(target, -(-rows // MAX_CHUNKS))
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], rows: int, target: int) -> tuple[DataFrame, int]:
+    """Keys of the groups above the bound, and how many rows they hold together.
+
+    Sizes are counted with partial sums per task. There are at most ``MAX_CHUNKS`` such groups, whatever the size of
+    the input, so the result can be broadcast.
+    """
+    sizes = df.groupBy(key_struct(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("__size"))
+    found = cut(sizes.filter(F.col("__size") > group_bound(rows, target)))
+    return found.select(GROUP, F.lit(True).alias(LARGE)), found.agg(F.sum("__size")).first()[0] or 0
+
+
+def in_bounds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    """Can every group be left to one task?"""
+    target = chunk_rows(df)
+    if rows <= target:
+        return True
+    return bool(keys) and large_groups(df, keys, rows, target)[1] == 0
+
+
 # ---------------------------------------------------------------- running values
 
 @dataclass(frozen=True)
@@ -202,11 +232,21 @@ def running(
     target = chunk_rows(df)
     rows = count_rows(df, names) if rows is None else rows
     split = rows > target
+    group = [col(k) for k in keys]
+    if split:
+        df = settled(df)
+        if keys:
+            found, large_rows = large_groups(df, keys, rows, target)
+            split = large_rows > 0
     if split:
-        df = with_chunks(settled(df), order, rows, target).withColumn("__part", key_struct([*keys, CHUNK]))
+        if keys:
+            df = df.withColumn(GROUP, key_struct(keys)).join(F.broadcast(found), GROUP, "left").drop(GROUP)
+            df = with_chunks(df, order, large_rows, target, df.filter(F.col(LARGE)))
+            df = df.withColumn(CHUNK, F.when(F.col(LARGE), F.col(CHUNK)).otherwise(F.lit(0).cast("bigint")))
+        else:
+            df = with_chunks(df, order, rows, target).withColumn(LARGE, F.lit(True))
+        df = df.withColumn("__part", key_struct([*keys, CHUNK]))
         group = [F.col("__part")]
-    else:
-        group = [col(k) for k in keys]
     full = Window.partitionBy(*group).orderBy(*sort_columns(order, reverse))
     upto = full.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = full.rowsBetween(Window.unboundedPreceding, -1)
@@ -226,7 +266,7 @@ def running(
             return F.max_by(s.value(), F.when(s.value().isNotNull(), F.col(PLACE)))
         return s.aggregate(s.value())
 
-    totals = source.groupBy("__part").agg(
+    totals = source.filter(F.col(LARGE)).groupBy("__part").agg(
         *[F.first(col(k)).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.first(F.col(CHUNK)).alias("__order"),
         *[total(s).alias(f"__t{i}") for i, s in enumerate(scans.values())],
@@ -242,7 +282,7 @@ def running(
     joined = joined.withColumns(
         {out: s.merge(F.col(f"__c{i}"), F.col(f"__l{i}")) for i, (out, s) in enumerate(scans.items())}
     )
-    return joined.drop("__part", CHUNK, *[f"__l{i}" for i in range(len(scans))], *[f"__c{i}" for i in range(len(scans))])
+    return joined.drop("__part", CHUNK, LARGE, *[f"__l{i}" for i in range(len(scans))], *[f"__c{i}" for i in range(len(scans))])
 
 
 def positions(df: DataFrame, keys: Sequence[str], order, out: str = PLACE, rows: int | None = None) -> DataFrame:
@@ -279,13 +319,14 @@ def framed(
     block sees its whole neighbourhood, and the copies are removed afterwards.
     """
     names = [k.name for k in order_keys(order)]
-    target = chunk_rows(df)
     rows = count_rows(df, names) if rows is None else rows
-    if rows <= target:
+    if rows > chunk_rows(df):
+        df = settled(df)
+    if in_bounds(df, keys, rows):
         window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*sort_columns(order))
         return df.withColumns(build(window))
-    size = max(target, behind, ahead, 1)
-    placed = positions(settled(df), keys, order, rows=rows)
+    size = max(chunk_rows(df), behind, ahead, 1)
+    placed = positions(df, keys, order, rows=rows)
     inner = F.col(PLACE) % F.lit(size)
     home = F.floor(F.col(PLACE) / F.lit(size)).cast("bigint")
     copies = F.array_compact(F.array(
@@ -330,11 +371,13 @@ def quantiles(
     distinct values gives every value its interval of places, and the two places next to each quantile are picked.
     """
     rows = count_rows(df, [value]) if rows is None else rows
-    if rows <= chunk_rows(df):
+    if rows > chunk_rows(df):
+        df = settled(df.select(*[col(k) for k in keys], col(value)))
+    if in_bounds(df, keys, rows):
         wanted = F.array(*[F.lit(float(p)) for p in probabilities.values()])
         found = df.groupBy(*[col(k) for k in keys]).agg(F.percentile(col(value).cast("double"), wanted).alias("__q"))
         return found.select(*[col(k) for k in keys], *[F.col("__q")[i].alias(o) for i, o in enumerate(probabilities)])
-    x = settled(df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v")))
+    x = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
     everyone = x.groupBy(*[col(k) for k in keys]).agg(F.count("__v").alias("__n"))
     counted = x.filter(F.col("__v").isNotNull()).groupBy(*[col(k) for k in keys], "__v").agg(
         F.count(F.lit(1)).alias("__m"))
@@ -409,6 +452,8 @@ def ranks(
     if method not in ("average", "min", "max", "first", "dense"):
         raise ValueError(f"unknown rank method {method!r}")
     rows = count_rows(df, [value]) if rows is None else rows
+    if rows > chunk_rows(df):
+        df = settled(df)
     key = OrderKey(value, ascending)
     present = col(value).isNotNull()
     if method == "first":
@@ -419,7 +464,7 @@ def ranks(
             sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("__n"))
             df = _attach(df, sizes, keys)
             extra.append("__n")
-    elif rows <= chunk_rows(df):
+    elif in_bounds(df, keys, rows):
         group = Window.partitionBy(*[col(k) for k in keys])
         ordered = group.orderBy(key.sort())
         low = F.rank().over(ordered)
@@ -438,7 +483,6 @@ def ranks(
             df = df.withColumn("__n", n.over(group))
             extra.append("__n")
     else:
-        df = settled(df)
         counts = df.filter(present).groupBy(*[col(k) for k in keys], col(value)).agg(F.count(F.lit(1)).alias("__m"))
         scans = {"__hi": Scan("sum", "__m"), "__dense": Scan("count")}
         counts = running(counts, keys, key, scans)
