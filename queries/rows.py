@@ -243,19 +243,23 @@ def union_snapshots(spark, folder):
 
 
 @query("""
-    SELECT o.o_orderkey, CAST(ceil(o_totalprice / 1000) AS BIGINT) AS up, CAST(floor(o_totalprice / 1000) AS BIGINT) AS down,
-           o_orderkey % 2 <> 0 AS odd, o_orderstatus AS state, o_orderpriority AS big
-    FROM orders o""")
+    SELECT event_id, CAST(ceil(value) AS BIGINT) AS up, CAST(floor(value) AS BIGINT) AS down, event_id % 2 = 1 AS odd,
+           event_type AS state, CAST(user_id AS VARCHAR) AS second, json_extract_string(props, '$.k') AS k,
+           len(range(event_id % 7, event_id % 20, 3)) AS n_levels
+    FROM events""")
 def scalar_misc(spark, folder):
-    df = table(spark, folder, "orders")
-    pairs = F.map_from_arrays(F.array(F.lit("status"), F.lit("priority")), F.array("o_orderstatus", "o_orderpriority"))
-    hosts = F.filter(F.array(F.struct(F.lit("a").alias("kind"), F.col("o_orderstatus").alias("name")),
-                             F.struct(F.lit("b").alias("kind"), F.col("o_orderpriority").alias("name"))),
-                     lambda h: h["kind"] == "b")
+    from trialframe.functions import values
+
+    df = table(spark, folder, "events")
+    pairs = values.as_map(["type", "user"], [F.col("event_type"), F.col("user_id")])
+    hosts = F.array(*[F.struct(F.lit(t).alias("host_type"), c.cast("string").alias("name")) for t, c in (
+        ("client", F.col("event_id")), ("server", F.col("event_type")), ("client", F.col("user_id")))])
+    levels = values.range_levels(F.col("event_id") % 7, F.col("event_id") % 20, 3)
     return df.select(
-        "o_orderkey", F.ceil(F.col("o_totalprice") / 1000).alias("up"), F.floor(F.col("o_totalprice") / 1000).alias("down"),
-        (F.col("o_orderkey") % 2).cast("boolean").alias("odd"), F.element_at(pairs, "status").alias("state"),
-        F.element_at(hosts, 1)["name"].alias("big"))
+        "event_id", F.ceil("value").alias("up"), F.floor("value").alias("down"),
+        values.truth(F.col("event_id") % 2).alias("odd"), F.element_at(pairs, "type").alias("state"),
+        values.pick_host(hosts, "client", 1, "name").alias("second"), values.json_entry(F.col("props"), "k").alias("k"),
+        F.size(levels).cast("bigint").alias("n_levels"))
 
 
 @query("""

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import json
 import re as _re
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 import yaml
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.columns import as_list, broadcast_if_small, col
 from trialframe.sources.tree import matches_any, plain_path
 
+# the YAML helpers travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ---------------------------------------------------------------- which file goes where
 

@@ -83,9 +83,12 @@ def guarded(work: Callable[[DataFrame, int], None], errors: str) -> Callable[[Da
     return run
 
 
-def start(out: DataFrame, work: Callable[[DataFrame, int], None], mode: str, checkpoint: str) -> StreamingQuery:
-    return (out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-            .foreachBatch(work).start())
+def start(out: DataFrame, work: Callable[[DataFrame, int], None], mode: str, checkpoint: str,
+          every: str | None = None) -> StreamingQuery:
+    """Start a stream: over the files present now, or polling for new ones at an interval such as ``5 seconds``."""
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(work)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
 
 
 def run_available(out: DataFrame, mode: str = "complete", target: str | None = None,
