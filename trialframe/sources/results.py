@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from trialframe.columns import broadcast_if_small, col
 from trialframe.functions.flatten import flatten_variant, variant_type
 from trialframe.operators.transforms import union_by_name
+from trialframe.session import cut
 from trialframe.sources import formats as fm
-from trialframe.sources.tree import FILE_KEYS, JOB_KEYS, documents, file_list, suite_paths, with_file_keys, with_job_keys
+from trialframe.sources.tree import FILE_KEYS, JOB_KEYS, file_list, scan, suite_paths, texts, with_file_keys, with_job_keys
 
 # fixed values: entries of a run configuration that only say what is varied
 LEVEL_KEYS = ["$FACTOR_LEVEL", "~FACTORS_LEVEL"]
@@ -75,20 +76,24 @@ def extract(
     records and configurations (as ``a bigint, b struct<...>``) save the passes that find them.
     """
     paths = suite_paths(root, suite, suite_id, experiments)
-    fm.require_coverage(with_file_keys(file_list(spark, paths)), dict(extractors))
+    files = scan(spark, paths)
+    fm.require_coverage(with_file_keys(file_list(files)), dict(extractors))
+    whole = {n: e for n, e in extractors.items() if not isinstance(e, (fm.IgnoredFiles, fm.CsvFiles))}
+    # many small files are opened once: their texts go to one table, which all later passes read
+    content = cut(texts(files, [r"config\.json$", *[p for e in whole.values() for p in e.patterns]]))
     parts = []
     for name, e in extractors.items():
         if isinstance(e, fm.IgnoredFiles):
             continue
-        if isinstance(e, fm.ErrorFiles):
-            found = fm.error_report(with_file_keys(documents(spark, paths, e.patterns)))
-            for row in found.select("path", "message").limit(20).collect():
-                warnings.warn(f"error file {row['path']}: {row['message'][:500]}", stacklevel=2)
-            continue
         if isinstance(e, fm.CsvFiles):
             part = with_file_keys(fm.csv_records(spark, paths, e))
         else:
-            docs = with_file_keys(documents(spark, paths, e.patterns))
+            keyed = with_file_keys(content)
+            docs = keyed.filter(e.fits(F.col("source_file")))
+            if isinstance(e, fm.ErrorFiles):
+                for row in fm.error_report(docs).select("path", "message").limit(20).collect():
+                    warnings.warn(f"error file {row['path']}: {row['message'][:500]}", stacklevel=2)
+                continue
             if custom and name in custom:
                 part = custom[name](docs)
             elif isinstance(e, fm.YamlFiles):
@@ -106,6 +111,6 @@ def extract(
         x for e, names in known.items() for x in (F.lit(e), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
     records = records.withColumn("factor_columns", F.try_element_at(by_experiment, F.col("exp_name")))
     records = records.select(*FILE_KEYS[:-1], "factor_columns", "source_file", "record")
-    configs = run_configs(documents(spark, paths, [r"config\.json$"]))
+    configs = run_configs(content)
     return records_with_configs(records, configs, record_type and T.StructType.fromDDL(record_type),
                                 config_type and T.StructType.fromDDL(config_type))

@@ -77,15 +77,27 @@ def suite_paths(root: str, suite: str, suite_id: str, experiments: Sequence[str]
     return [base] if experiments is None else [f"{base}/{{{','.join(experiments)}}}"]
 
 
-def documents(spark: SparkSession, paths: Sequence[str], patterns: Sequence[str] | None = None) -> DataFrame:
-    """Whole files as ``(path, content)``; files of other names are left out before they are read."""
-    files = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True)
-    if patterns is not None:
-        files = files.filter(matches_any(F.col("_metadata.file_name"), patterns))
-    return files.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+def scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """All files below some folders: ``path, name, length, content``, listed once.
 
-
-def file_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Names and sizes of all files without reading them. Files of length zero do not appear."""
+    The content of a file is only read where it is asked for, and files that a filter on the name leaves out are not
+    opened. Files of length zero do not appear.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select(plain_path(F.col("_metadata.file_path")).alias("path"), "length")
+    return files.select(plain_path(F.col("_metadata.file_path")).alias("path"),
+                        F.col("_metadata.file_name").alias("name"), "length", "content")
+
+
+def texts(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Whole files with matching names as ``(path, content)``."""
+    return files.filter(matches_any(F.col("name"), patterns)).select("path", F.col("content").cast("string").alias("content"))
+
+
+def documents(spark: SparkSession, paths: Sequence[str], patterns: Sequence[str]) -> DataFrame:
+    """Whole files below some folders as ``(path, content)``; files of other names are not opened."""
+    return texts(scan(spark, paths), patterns)
+
+
+def file_list(files: DataFrame) -> DataFrame:
+    """Names and sizes of scanned files without their content."""
+    return files.select("path", "length")
