@@ -105,11 +105,11 @@ def bar_positions(spark, folder):
 @query(f"""
     SELECT l_returnflag, l_linestatus, s_nationkey, CAST(q AS DOUBLE) AS q,
            CAST(coalesce(sum(q) OVER w, 0) AS DOUBLE) AS bottom, CAST(sum(q) OVER (PARTITION BY l_returnflag, s_nationkey) AS DOUBLE) AS total
-    FROM (SELECT * FROM {FLAGS} WHERE (s_nationkey + n) % 5 <> 0)
+    FROM (SELECT * FROM {FLAGS} WHERE NOT (l_returnflag = 'N' AND l_linestatus = 'F'))
     WINDOW w AS (PARTITION BY l_returnflag, s_nationkey ORDER BY l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def stack_bottoms(spark, folder):
     df = flags(spark, folder).selectExpr(
-        "l_returnflag", "l_linestatus", "s_nationkey", "case when (s_nationkey + n) % 5 <> 0 then cast(q as double) end as q")
+        "l_returnflag", "l_linestatus", "s_nationkey", "case when not (l_returnflag = 'N' and l_linestatus = 'F') then cast(q as double) end as q")
     bar = ["l_returnflag", "s_nationkey"]
     stacked = layout.stack_bottoms(df, bar, ["l_linestatus"], "q", "bottom")
     totals = df.groupBy(*bar).agg(F.sum("q").alias("total"))

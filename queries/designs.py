@@ -29,7 +29,7 @@ def factor_cross(spark, folder):
 
 
 @query(f"""
-    WITH e AS (SELECT 'R' AS l_returnflag, o_orderpriority, NULL AS l_suppkey FROM orders WHERE o_orderkey % 100 = 0
+    WITH e AS (SELECT 'R' AS l_returnflag, o_orderpriority, NULL AS l_suppkey FROM orders WHERE o_totalprice > 490000
                UNION SELECT NULL, NULL, s_suppkey FROM supplier WHERE s_acctbal < 0
                UNION SELECT 'A', NULL, s_suppkey FROM supplier WHERE s_nationkey = 3)
     SELECT l_returnflag, o_orderpriority, l_suppkey,
@@ -41,7 +41,7 @@ def factor_cross(spark, folder):
 def factor_except(spark, folder):
     suppliers = table(spark, folder, "supplier")
     names = ("l_returnflag", "o_orderpriority", "l_suppkey")
-    some = table(spark, folder, "orders").filter("o_orderkey % 100 = 0").selectExpr(
+    some = table(spark, folder, "orders").filter("o_totalprice > 490000").selectExpr(
         "'R' as l_returnflag", "o_orderpriority", "cast(null as bigint) as l_suppkey")
     poor = suppliers.filter("s_acctbal < 0").selectExpr(
         "cast(null as string) as l_returnflag", "cast(null as string) as o_orderpriority", "s_suppkey as l_suppkey")
@@ -69,10 +69,10 @@ def level_list(spark, folder):
 @query("""
     SELECT k, CASE WHEN own THEN value ELSE fallback END AS value FROM
       (SELECT c_custkey AS k, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS value, true AS own FROM customer
-       WHERE c_custkey % 3 <> 0)
+       WHERE c_mktsegment <> 'BUILDING')
     FULL JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS fallback FROM orders GROUP BY ALL) USING (k)""")
 def defaults_merge(spark, folder):
-    own = table(spark, folder, "customer").filter("c_custkey % 3 <> 0").selectExpr(
+    own = table(spark, folder, "customer").filter("c_mktsegment <> 'BUILDING'").selectExpr(
         "c_custkey as k", "case when c_acctbal >= 0 then c_mktsegment end as value")
     defaults = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
         F.max("o_orderpriority").alias("value"))

@@ -194,21 +194,23 @@ def time_of_day(spark, folder):
 
 @query("""
     WITH l AS (SELECT o_orderkey, regexp_replace(o_orderpriority, '[0-9]+', '%REPL%', 'g') AS p, o_orderstatus AS s
-               FROM orders WHERE o_orderkey % 7 <> 0),
-    r AS (SELECT o_orderkey, regexp_replace(CASE WHEN o_orderkey % 5 = 0 THEN '9' || substr(o_orderpriority, 2)
+               FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')),
+    r AS (SELECT o_orderkey, regexp_replace(CASE WHEN o_orderstatus = 'O' THEN '9' || substr(o_orderpriority, 2)
                                                  ELSE o_orderpriority END, '[0-9]+', '%REPL%', 'g') AS p,
-                 CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS s
-          FROM orders WHERE o_orderkey % 13 <> 0)
+                 CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS s
+          FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'))
     SELECT o_orderkey, CASE WHEN r.s IS NULL THEN 'left_only' WHEN l.s IS NULL THEN 'right_only' ELSE 'diff' END AS status,
            l.p AS left_p, r.p AS right_p, l.s AS left_s, r.s AS right_s
     FROM l FULL JOIN r USING (o_orderkey)
     WHERE l.s IS NULL OR r.s IS NULL OR l.s <> r.s OR l.p <> r.p""")
 def table_diff(spark, folder):
     orders = table(spark, folder, "orders")
-    left = orders.filter("o_orderkey % 7 <> 0").selectExpr("o_orderkey", "o_orderpriority as p", "o_orderstatus as s")
-    right = orders.filter("o_orderkey % 13 <> 0").selectExpr(
-        "o_orderkey", "case when o_orderkey % 5 = 0 then concat('9', substr(o_orderpriority, 2)) else o_orderpriority end as p",
-        "case when o_orderkey % 11 = 0 then 'X' else o_orderstatus end as s")
+    left = orders.filter("not (o_orderpriority = '5-LOW' and o_orderstatus = 'P')").selectExpr(
+        "o_orderkey", "o_orderpriority as p", "o_orderstatus as s")
+    right = orders.filter("not (o_orderpriority = '1-URGENT' and o_orderstatus = 'F')").selectExpr(
+        "o_orderkey",
+        "case when o_orderstatus = 'O' then concat('9', substr(o_orderpriority, 2)) else o_orderpriority end as p",
+        "case when o_totalprice > 400000 then 'X' else o_orderstatus end as s")
     return compare.compare_tables(left, right, ["o_orderkey"], ["p", "s"], ["[0-9]+"])
 
 

@@ -85,20 +85,20 @@ def file_coverage(spark, folder):
 
 
 @query("""
-    SELECT o_orderkey AS rep, 'oops ' || o_orderstatus || ' second' AS message FROM orders WHERE o_orderkey % 4 = 0""")
+    SELECT o_orderkey AS rep, 'oops ' || o_orderpriority || ' second' AS message FROM orders WHERE o_orderstatus = 'F'""")
 def error_files(spark, folder):
     docs = orders(spark, folder).selectExpr(
         f"{JOB}, 'small/host_0/stderr.log') as path",
-        "case when o_orderkey % 4 = 0 then concat('oops ', o_orderstatus, '\\nsecond\\n') when o_orderkey % 4 = 1 then ' \\n' else '' end as content")
+        "case o_orderstatus when 'F' then concat('oops ', o_orderpriority, '\\nsecond\\n') when 'O' then ' \\n' else '' end as content")
     return formats.error_report(tree.with_file_keys(docs)).select("rep", "message")
 
 
 @query("""
     SELECT l_orderkey AS rep, o_custkey AS run, l_linenumber AS line, l_quantity AS q, o_orderstatus AS status,
            o_orderpriority AS "set.prio", CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE l_suppkey END AS size
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 10 <> 0""")
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority <> '5-LOW'""")
 def config_join(spark, folder):
-    configs = orders(spark, folder).filter("o_orderkey % 10 <> 0").selectExpr(
+    configs = orders(spark, folder).filter("o_orderpriority <> '5-LOW'").selectExpr(
         "concat('file:/r/s_1/e/run_', o_custkey, '/rep_', o_orderkey, '/config.json') as path",
         """concat('{"status": "', o_orderstatus, '", "set": {"prio": "', o_orderpriority, '"}, "size": 1, "$FACTOR_LEVEL": {"a": 1}}')
            as content""")
