@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from trialframe.columns import all_of, any_of, as_list, broadcast_if_small, col
 from trialframe.functions.text import REFERENCE, fill_column, fill_template, rendered
 from trialframe.operators.ordered import positions
+from trialframe.session import settled
 
 FACTOR = "$FACTOR$"
 COMMAND = "$CMD$"
@@ -267,6 +268,7 @@ def factor_product(spark: SparkSession, factors: Mapping[str, tuple[DataFrame, o
     """
     numbered, sizes = {}, {}
     for name, (levels, order) in factors.items():
+        levels = settled(levels)
         numbered[name] = positions(levels, [], order, f"__at_{name}")
         sizes[name] = levels.count()
     total = math.prod(sizes.values())

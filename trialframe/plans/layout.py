@@ -154,6 +154,7 @@ def with_ordinals(df: DataFrame, levels: Sequence[Level], allowed: Mapping[str,
     Combinations that a level leaves out are dropped before it is numbered.
     """
     columns = [c for lv in levels for c in lv.cols]
+    df = settled(df)
     df, rank = order_helpers(df, columns, allowed or {})
     rows = count_rows(df, columns[:1]) if rows is None and columns else rows or 0
     parents: list[str] = []
