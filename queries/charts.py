@@ -86,7 +86,7 @@ def grid_index(spark, folder):
     WITH b AS (SELECT DISTINCT s_nationkey, l_returnflag, l_linestatus FROM {FLAGS}),
     i AS (SELECT *, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY l_returnflag) - 1 AS g,
                  row_number() OVER (PARTITION BY s_nationkey ORDER BY l_returnflag, l_linestatus) - 1 AS n FROM b),
-    c AS (SELECT *, round(n * 0.7 + g * 0.3, 6) AS center FROM i)
+    c AS (SELECT *, CAST(round(n * 0.7 + g * 0.3, 6) AS DOUBLE) AS center FROM i)
     SELECT s_nationkey, l_returnflag, l_linestatus, n AS bar_no, center AS bar_center_pos,
            round(center - 0.3, 6) AS bar_left_pos,
            round((min(center) OVER w + max(center) OVER w) / 2, 6) AS group_center_pos

@@ -39,7 +39,7 @@ def tree_json(spark, folder):
 @query("""
     SELECT conv_id AS run, turn AS rep, host_idx, role, n_words, flag, "load.mean", "load.unit" FROM (
       SELECT conv_id, turn, 0 AS host_idx, role, len(string_split(text, ' ')) AS n_words, turn % 2 = 0 AS flag,
-             turn * 0.5 AS "load.mean", 'ms' AS "load.unit" FROM conversations)""")
+             CAST(turn * 0.5 AS DOUBLE) AS "load.mean", 'ms' AS "load.unit" FROM conversations)""")
 def tree_yaml(spark, folder):
     docs = table(spark, folder, "conversations").selectExpr(
         "concat('file:/r/chat_1/talk/run_', conv_id, '/rep_', turn, '/client/host_0/stats.yaml') as path",

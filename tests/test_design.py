@@ -126,3 +126,14 @@ def test_exclusions_as_table(spark):
     left = design.exclude_rows(runs, entries)
     want = {(r, r % 3, r // 3) for r in range(12) if not (r % 3 == 1 or r // 3 == 2 or (r % 3 == 0 and r // 3 == 0))}
     assert {(r["run"], r["a"], r["b"]) for r in left.collect()} == want
+
+
+def test_suite_design(spark):
+    suite = {"$SUITE_VARS$": {"shared": 1, "$INCLUDE_VARS$": "more.yml"}, "$ETL$": {},
+             "a": {"base_experiment": {"f": {"$FACTOR$": [1, 2]}, "in": {"$INCLUDE_VARS$": "more.yml"}}},
+             "b": {"base_experiment": {"shared": 9}}}
+    tables = design.suite_run_tables(spark, suite, {"more.yml": {"extra": "e"}})
+    assert {n: t.count() for n, t in tables.items()} == {"a": 2, "b": 1}
+    row = tables["a"].first()
+    assert (row["shared"], row["extra"], row["in.extra"]) == (1, "e", "e")
+    assert tables["b"].first()["shared"] == 9

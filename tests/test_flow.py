@@ -175,3 +175,17 @@ def test_chart_loader(spark, root, tmp_path):
     flow.run(spark, spec, root, str(tmp_path / "o"), config_name="cfg")
     bars = spark.read.parquet(str(tmp_path / "o/cfg/c/bars"))
     assert bars.count() == 2 and spark.read.parquet(str(tmp_path / "o/cfg/c/data")).count() == 2
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "o/cfg/c/html/file_name=out")).collect()]
+    assert sum("<td>" in line for line in lines) == 2 and lines.count("<table>") == 1
+
+
+def test_frames_are_cut_to_the_shared_folder(spark):
+    from trialframe.session import cut, is_costly, settled, shared_folder
+
+    df = spark.sql("select id, null as nothing, parse_json('{\"a\": 1}') as v, 'x' as `$odd name.b, c` from range(3)")
+    again = cut(df)
+    assert again.columns == df.columns and again.selectExpr("variant_get(v, '$.a', 'int') as a").first()["a"] == 1
+    assert not is_costly(df) and settled(df) is df
+    grouped = df.groupBy((F.col("id") % 2).alias("k")).count()
+    assert is_costly(grouped) and not is_costly(settled(grouped))
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir", shared_folder(spark))

@@ -219,6 +219,24 @@ def run_table(
     return runs.select(F.lit(name).alias("exp_name"), *[col(c) for c in ordered])
 
 
+def suite_run_tables(
+    spark: SparkSession,
+    design: Mapping,
+    variable_files: Mapping[str, Mapping] | None = None,
+    variables: Mapping[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """Run table of every experiment of a suite design, with its included files and shared variables."""
+    files = variable_files or {}
+    shared = resolve_includes(design.get("$SUITE_VARS$") or {}, files)
+    tables = {}
+    for name, body in design.items():
+        if name.startswith("$"):
+            continue
+        base = resolve_includes(body["base_experiment"], files)
+        tables[name] = run_table(spark, name, {**body, "base_experiment": base}, shared, variables)
+    return tables
+
+
 def factor_and_constant_order(experiment: Mapping) -> list[str]:
     """Dotted configuration columns in the order of the design."""
     return [".".join(p[:-1] if p[-1] == FACTOR else p) for p, _ in paths_of(experiment["base_experiment"])]

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -28,10 +30,10 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.trialframe.sharedFolder", None)
     if not named:
         named = tempfile.mkdtemp(prefix="trialframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set("spark.trialframe.sharedFolder", named)
     return named
 
 
@@ -45,17 +47,19 @@ def cut(df: DataFrame) -> DataFrame:
 
     Later steps read only the columns they need, and a lost executor costs a re-read instead of a recomputation.
     """
+    empty = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    df = df.withColumns({name: F.lit(None).cast("string") for name in empty}) if empty else df
     path = new_shared_path(df.sparkSession, "frame")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def needs_shuffle(df: DataFrame) -> bool:
-    """Does computing the frame move rows between tasks?"""
+def is_costly(df: DataFrame) -> bool:
+    """Does computing the frame move rows between tasks or through Python?"""
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
         df.explain()
-    return "Exchange" in text.getvalue()
+    return any(sign in text.getvalue() for sign in ("Exchange", "InPandas", "ArrowEvalPython", "BatchEvalPython"))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -63,4 +67,4 @@ def settled(df: DataFrame) -> DataFrame:
 
     A plain scan is cheaper to read again (each reader prunes its columns) than to copy.
     """
-    return cut(df) if needs_shuffle(df) else df
+    return cut(df) if is_costly(df) else df

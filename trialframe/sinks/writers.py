@@ -91,25 +91,43 @@ def write_latex(df: DataFrame, path: str, order, skip_empty: bool = False) -> No
     latex_lines(df, order).write.mode("overwrite").text(path)
 
 
-def html_lines(df: DataFrame, order) -> DataFrame:
-    names = df.columns
+def html_lines(df: DataFrame, order, by: Sequence[str] = ()) -> DataFrame:
+    """The frame as lines of an HTML table in order, or one table per value of ``by``."""
+    names = [c for c in df.columns if c not in by]
     cells = [F.concat(F.lit("<td>"), _escaped(_shown(df, n), HTML_ESCAPES), F.lit("</td>")) for n in names]
     row = F.concat(F.lit("    <tr>"), *cells, F.lit("</tr>"))
     head = "".join(f"<th>{_plain_escape(n, HTML_ESCAPES)}</th>" for n in names)
-    return _numbered_lines(df, order, row, ["<table>", f"  <thead><tr>{head}</tr></thead>", "  <tbody>"],
-                           ["  </tbody>", "</table>"])
-
-
-def write_html(df: DataFrame, path: str, order) -> None:
-    html_lines(df, order).write.mode("overwrite").text(path)
+    before, after = ["<table>", f"  <thead><tr>{head}</tr></thead>", "  <tbody>"], ["  </tbody>", "</table>"]
+    if not by:
+        return _numbered_lines(df, order, row, before, after)
+    body = positions(df, by, order).select(*[col(b) for b in by], F.col(PLACE).cast("bigint").alias("n"), row.alias("value"))
+    frame = F.array(*[
+        F.struct(F.lit(n).cast("bigint").alias("n"), F.lit(t).alias("value"))
+        for n, t in [*enumerate(before, -len(before)), *enumerate(after, 2**62)]
+    ])
+    edges = df.select(*[col(b) for b in by]).distinct().select(*[col(b) for b in by], F.inline(frame))
+    return body.unionByName(edges).orderBy(*[col(b) for b in by], "n")
+
+
+def write_html(df: DataFrame, path: str, order, by: Sequence[str] = ()) -> None:
+    """One folder with the lines in order, or one folder per value of ``by``."""
+    lines = html_lines(df, order, by)
+    if by:
+        lines.drop("n").write.mode("overwrite").partitionBy(*by).text(path)
+    else:
+        lines.write.mode("overwrite").text(path)
 
 
 # ---------------------------------------------------------------- charts
 
 def write_chart_tables(tables: Mapping[str, DataFrame], path: str) -> None:
-    """The plotted data in one folder per figure file, and the tables behind the drawing."""
+    """The tables behind the drawing, and the plotted data as one HTML table per figure."""
     for name, table in tables.items():
         table.write.mode("overwrite").partitionBy("file_name").parquet(f"{path}/{name}")
+    data = tables["data"]
+    order = [c for c in data.columns if not is_nested(dtype_of(data, c)) and c != "file_name"]
+    places = [c for c in ("fig_idx", "row_idx", "col_idx") if c in order]
+    write_html(data, f"{path}/html", [*places, *[c for c in order if c not in places]], ["file_name"])
 
 
 def error_bars(df: DataFrame, x: str, series: str, mean: str, std: str) -> DataFrame:
