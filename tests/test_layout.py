@@ -187,3 +187,10 @@ def test_fan_out_keeps_one_scan(spark, tmp_path):
     with contextlib.redirect_stdout(shown):
         out.explain()
     assert shown.getvalue().count("FileScan") == 1 and out.count() == 20
+
+
+def test_predicate_spellings(spark):
+    df = spark.createDataFrame([("time", "4", "abc"), ("mem", "12", "xbc")], "`$metrics$` string, n string, s string")
+    for text, kept in [("\"$metrics$\" == 'time'", 1), ("to_number(n) > `4` || starts_with(s, 'a')", 2),
+                       ("(n == '4') && ends_with(s, 'c')", 1), ("not contains(s, 'b')", 0)]:
+        assert df.filter(layout.predicate(text)).count() == kept, text

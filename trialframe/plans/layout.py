@@ -6,6 +6,7 @@ All nesting levels (figure, subplot, group, bar, part) are columns of one flat t
 from __future__ import annotations
 
 import json
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -125,9 +126,22 @@ def value_rank(name: str, allowed: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in allowed]), col(name)) - 1
 
 
+# fixed values: spellings accepted in predicates and their SQL form
+PREDICATE_FORMS = {
+    "&&": " and ", "||": " or ", "==": "=", "starts_with(": "startswith(", "ends_with(": "endswith(",
+    "to_number(": "double(", '"': "`",
+}
+
+
 def predicate(text: str) -> Column:
-    """A boolean SQL expression over the id columns; ``&&``, ``||`` and ``==`` are accepted."""
-    return F.expr(text.replace("&&", " and ").replace("||", " or ").replace("==", "="))
+    """A boolean SQL expression over the id columns.
+
+    Also accepted: ``&&``, ``||``, ``==``, double quotes around column names, back-ticks around literal numbers.
+    """
+    text = re.sub(r"`(-?\d+(?:\.\d+)?|true|false)`", r"\1", text)
+    for form, sql in PREDICATE_FORMS.items():
+        text = text.replace(form, sql)
+    return F.expr(text)
 
 
 @dataclass(frozen=True)
