@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,8 @@ from trialframe.columns import any_of, col
 JOB_KEYS = ["suite_name", "suite_id", "exp_name", "run", "rep"]
 FILE_KEYS = [*JOB_KEYS, "host_type", "host_idx", "source_file"]
 
-# fixed values: folder layout of a result tree
-SUITE_LEVEL = r"([^/]+)_([^/_]+)"
-JOB_LEVEL = SUITE_LEVEL + r"/([^/]+)/run_(\d+)/rep_(\d+)"
-FILE_LEVEL = JOB_LEVEL + r"/([^/]+)/[^/]*?(\d+)/([^/]+)$"
+# fixed values: folder names of a result tree
+RUN, REP = "run_", "rep_"
 
 
 def plain_path(path: Column) -> Column:
@@ -46,24 +45,46 @@ def job_path(base: Column, suite: Column, suite_id: Column, exp: Column, run: Co
                        F.concat(F.lit("run_"), run.cast("string")), F.concat(F.lit("rep_"), rep.cast("string")))
 
 
-def with_job_keys(df: DataFrame, path: str = "path") -> DataFrame:
-    """Job keys from the path of anything below a repetition folder; other paths are dropped."""
-    parts = [F.regexp_extract(col(path), JOB_LEVEL, i) for i in range(1, 6)]
-    found = df.filter(col(path).rlike(JOB_LEVEL))
-    return found.withColumns({
-        "suite_name": parts[0], "suite_id": parts[1], "exp_name": parts[2],
-        "run": parts[3].cast("int"), "rep": parts[4].cast("int"),
-    })
+def _numbered(name: Column, prefix: str) -> Column:
+    """The number in ``run_3``; NULL for other names."""
+    return F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 20).try_cast("int"))
+
+
+def _keys(parts: Column, below: int, with_host: bool) -> Column:
+    """Keys from the path elements, counted from the end of the path."""
+    def part(from_end: int) -> Column:
+        return F.try_element_at(parts, F.lit(-from_end))
+
+    folder = part(below + 4)
+    suite_id = F.substring_index(folder, "_", -1)
+    keys = [
+        F.left(folder, F.length(folder) - F.length(suite_id) - 1).alias("suite_name"), suite_id.alias("suite_id"),
+        part(below + 3).alias("exp_name"), _numbered(part(below + 2), RUN).alias("run"),
+        _numbered(part(below + 1), REP).alias("rep"),
+    ]
+    if with_host:
+        number = F.regexp_extract(part(2), r"(\d+)$", 1).try_cast("int")
+        keys += [part(3).alias("host_type"), number.alias("host_idx"), part(1).alias("source_file")]
+    return F.struct(*keys)
+
+
+def _with_keys(df: DataFrame, path: str, below: int, with_host: bool) -> DataFrame:
+    # the path is split once per row; the explosion keeps the later filter from repeating the split
+    parts = F.array(F.split(col(path), "/"))
+    keyed = df.select("*", F.inline(F.transform(parts, lambda p: _keys(p, below, with_host))))
+    needed = ["run", "rep", *(["host_idx"] if with_host else [])]
+    present = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in needed])
+    return keyed.filter(present & (F.col("suite_name") != "") & (F.col("suite_id") != ""))
+
+
+def with_job_keys(df: DataFrame, path: str = "path", below: int = 1) -> DataFrame:
+    """Job keys of files ``below`` path elements under a repetition folder; other paths are dropped."""
+    return _with_keys(df, path, below, with_host=False)
 
 
 def with_file_keys(df: DataFrame, path: str = "path") -> DataFrame:
     """Job keys, host type, host number and file name of result files; other paths are dropped."""
-    found = df.filter(col(path).rlike(FILE_LEVEL))
-    return with_job_keys(found, path).withColumns({
-        "host_type": F.regexp_extract(col(path), FILE_LEVEL, 6),
-        "host_idx": F.regexp_extract(col(path), FILE_LEVEL, 7).cast("int"),
-        "source_file": F.regexp_extract(col(path), FILE_LEVEL, 8),
-    })
+    return _with_keys(df, path, below=3, with_host=True)
 
 
 def matches_any(name: Column, patterns: Sequence[str]) -> Column:
