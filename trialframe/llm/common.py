@@ -79,12 +79,12 @@ def linked_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(rounds):
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = label.join(near, label.node == near.a).select("node", F.least("component", "near").alias("to"), "component")
+        hooked = label.join(near, label.node == near.a).select("node", F.least("component", "near").alias("target"), "component")
         # a pointer that improves also pulls the node it pointed at before
-        pulled = hooked.select(F.col("component").alias("node"), "to").union(hooked.select("node", "to"))
-        moved = pulled.groupBy("node").agg(F.min("to").alias("to"))
-        jump = moved.select(F.col("node").alias("at"), F.col("to").alias("next"))
-        new = cut(moved.join(jump, moved.to == jump["at"]).select("node", F.least("to", "next").alias("component")))
+        pulled = hooked.select(F.col("component").alias("node"), "target").union(hooked.select("node", "target"))
+        moved = pulled.groupBy("node").agg(F.min("target").alias("target"))
+        jump = moved.select(F.col("node").alias("place"), F.col("target").alias("next"))
+        new = cut(moved.join(jump, F.col("target") == F.col("place")).select("node", F.least("target", "next").alias("component")))
         changed = new.alias("n").join(label.alias("o"), "node").where("n.component <> o.component").limit(1).count()
         label = new
         if not changed:

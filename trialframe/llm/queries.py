@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import packing
+from trialframe.llm import exact_dedup, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,37 @@ def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, folder, "documents"), byte_bpe())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
                          "class")
+
+
+def remainder(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+@query
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(5) == 0)
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = exact_dedup.kept_marks(exact_dedup.exact_groups(table(spark, folder, "documents")))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op9_exact_dedup"] = r"""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+"""
