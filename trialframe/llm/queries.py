@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import exact_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup
+from trialframe.llm import chat, exact_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,47 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op3_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+ORACLES["op3_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    extra = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))],
+                                  "conv_id long, turn int, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    formatted = chat.format_chats(chat.turn_events(turns))
+    lengths = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = chat.read_back(formatted).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"))
+    return read.join(lengths, "conv_id")
+
+
+ORACLES["op8_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (
+  SELECT *, length(regexp_replace(role || text, '[^\\]', '', 'g'))
+    + length(regexp_replace(role || text, '(<\||</?s>|<</?SYS>>|\[/?INST\])', '\1' || chr(1), 'g')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + 24) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
