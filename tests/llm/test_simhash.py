@@ -44,6 +44,22 @@ def test_whole_operator(docs, rows):
     assert got == sorted((r[0] if r[0] is not None else 10**9, p, ordered[k][0]) for r, p, k in zip(ordered, prints, roots, strict=True))
 
 
+def test_one_row_of_each_group_stays(docs, rows):
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    ordered = sorted(rows, key=lambda r: r[0] if r[0] is not None else 10**9)
+    roots = components([print_of(r[1]) for r in ordered])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(ordered[k][0]) for k in set(roots))
+
+
+def test_rows_with_one_id_and_several_texts(spark):
+    texts = [" ".join(random.Random(i).choices("abcdefgh", k=40)) for i in range(4)]
+    rows = [(1, texts[0], "x"), (1, texts[1], "y"), (1, texts[1], "y"), (None, texts[2], "z"), (None, texts[3], "w"), (None, texts[3], "w"), (2, texts[0], "v")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(
+        [rows[0], rows[1], rows[3], rows[4]], "doc_id long, text string, fp string").collect()))
+
+
 def crowd(seed, n):
     """Fingerprints with dense balls, chains and strangers."""
     rng = random.Random(seed)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import chat, exact_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk
+from trialframe.llm import chat, exact_dedup, language_model, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(chars + 24) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+@query
+def op2_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.log_probabilities(table(spark, folder, "documents"), remainder(7) == 2)

@@ -18,7 +18,9 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trialframe.columns import col
 from trialframe.llm.common import batches, id_and_text, linked_components
 from trialframe.session import cut
 
@@ -178,15 +180,45 @@ def near_links(nodes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id, fp, component_id``: one row per document.
+    """``doc_id, fp, component, component_id``: one row per document.
 
-    ``component_id`` is the smallest id that can be reached over fingerprints at most four bits apart. Null texts count as
-    empty: their fingerprint is 0, linked like any other. Repeated rows and ties share a fingerprint and so a component; null
-    ids take part and never name a component of other rows; an empty table gives no rows; other columns are ignored.
+    ``component_id`` is the smallest id that can be reached over fingerprints at most four bits apart, ``component`` the smallest
+    fingerprint (a key for groups that have null ids only). Null texts count as empty: their fingerprint is 0, linked
+    like any other. Repeated rows and ties share a fingerprint and so a component; null ids take part and never name a
+    component of other rows; an empty table gives no rows; other columns are ignored.
     """
     marks = cut(fingerprints(docs, id_col, text_col, words, seed))
     nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = linked_components(near_links(nodes.select("fp")))
     own = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marks.join(own.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = own.join(smallest, "component").select("fp", "component", "component_id")
+    return marks.join(named, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the one with the smallest id, any one of equal rows."""
+    marks = cut(near_duplicates(docs, id_col, text_col, words, seed))
+    stay = (marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component")
+            .agg(F.min("fp").alias("__fp"), F.min("doc_id").alias("__id")).drop("component"))
+    times = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
+    stay = cut(stay.join(times, F.col("__id").eqNullSafe(F.col("doc_id"))).drop("doc_id"))
+    carried = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("__row"))
+    own = F.col("__row")[id_col].cast("long")
+    once = carried.join(stay.where("__times = 1"), own == F.col("__id"), "left_semi")
+    many = stay.where("__times > 1")
+    if many.limit(1).count():
+        # rows that share their id are told apart by their own fingerprint
+        shared = carried.join(many.select(F.col("__id")).distinct(), own.eqNullSafe(F.col("__id")), "left_semi")
+        fields = shared.select("__row", own.alias("doc_id"), F.coalesce(F.col("__row")[text_col], F.lit("")).alias("text"))
+
+        def run(stream):
+            for batch in stream:
+                prints = [fingerprint(t, words, seed) for _, texts in batches([batch]) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("doc_id"), pa.array(np.array(prints, dtype="<u8").view("<i8"))],
+                                                 names=["__row", "doc_id", "fp"])
+
+        kind = T.StructType([*fields.schema.fields[:2], T.StructField("fp", T.LongType())])
+        printed = fields.mapInArrow(run, kind).dropDuplicates(["doc_id", "fp"])
+        once = once.unionByName(printed.join(many, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_semi").select("__row"))
+    return once.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
