@@ -256,3 +256,13 @@ def scatter_points(spark, folder):
     steps = [{"df.eval": {"expr": "color = 'black'"}},
              {"name": "ConditionalTransformer", "col": "l_returnflag", "dest": "color", "value": {"R": "red"}}]
     return scatter(transform(df, steps))
+
+
+@query("""
+    SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderstatus = 'F' THEN '==' ELSE '&&"' END AS name FROM orders
+    WHERE name IN ('1-URGENT==', '2-HIGH&&"')""")
+def predicate_literals(spark, folder):
+    """Literals that hold operators and quotes keep them."""
+    names = table(spark, folder, "orders").select("o_orderkey", F.concat(
+        "o_orderpriority", F.when(F.col("o_orderstatus") == "F", "==").otherwise('&&"')).alias("name"))
+    return names.filter(layout.predicate("""  "name" == '1-URGENT==' || (name == '2-HIGH&&"' && o_orderkey >= `0`)"""))

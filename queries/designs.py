@@ -68,13 +68,13 @@ def level_list(spark, folder):
 
 @query("""
     SELECT k, CASE WHEN own THEN value ELSE fallback END AS value FROM
-      (SELECT c_custkey AS k, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS value, true AS own FROM customer
-       WHERE c_mktsegment <> 'BUILDING')
-    FULL JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS fallback FROM orders GROUP BY ALL) USING (k)""")
+      (SELECT c_custkey AS k, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS value, true AS own FROM customer)
+    FULL JOIN (SELECT o_custkey + 100 AS k, max(o_orderpriority) AS fallback FROM orders GROUP BY ALL) USING (k)""")
 def defaults_merge(spark, folder):
-    own = table(spark, folder, "customer").filter("c_mktsegment <> 'BUILDING'").selectExpr(
+    own = table(spark, folder, "customer").selectExpr(
         "c_custkey as k", "case when c_acctbal >= 0 then c_mktsegment end as value")
-    defaults = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+    # other keys than the customers' own, so that some have a default only
+    defaults = table(spark, folder, "orders").groupBy((F.col("o_custkey") + 100).alias("k")).agg(
         F.max("o_orderpriority").alias("value"))
     return design.merge_defaults(own, defaults, ["k"])
 
@@ -91,10 +91,10 @@ def job_table(spark, folder):
 
 
 @query("""
-    SELECT o_orderkey AS exp_run, s_suppkey AS host, s_nationkey % 3 AS host_no,
-           CASE s_nationkey % 3 WHEN 0 THEN 'serve ' || o_orderstatus WHEN 1 THEN 'load ' || o_orderpriority
-                                ELSE 'runner 2' END AS exp_run_cmd
-    FROM orders JOIN supplier ON s_nationkey = o_custkey % 25""")
+    SELECT o_orderkey AS exp_run, h AS host, CAST(h % 3 AS INTEGER) AS host_no,
+           CASE h % 3 WHEN 0 THEN 'serve ' || o_orderstatus WHEN 1 THEN 'load ' || o_orderpriority
+                      ELSE 'runner 2' END AS exp_run_cmd
+    FROM orders JOIN (SELECT c_custkey, unnest([c_custkey * 2, c_custkey * 2 + 1]) AS h FROM customer) ON c_custkey = o_custkey""")
 def job_schedule(spark, folder):
     main, bg = F.lit("main"), F.lit("monitor")
     commands = F.array(
@@ -102,10 +102,11 @@ def job_schedule(spark, folder):
         F.create_map(main, F.concat(F.lit("load "), "o_orderpriority")),
         F.create_map(main, F.lit("client"), bg, F.lit("top")))
     runs = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("exp_run"), (F.col("o_custkey") % 25).cast("int").alias("exp_name"),
-        commands.alias("commands"))
-    hosts = table(spark, folder, "supplier").selectExpr(
-        "s_nationkey as exp_name", "s_suppkey as host", "s_nationkey % 3 as host_no")
+        F.col("o_orderkey").alias("exp_run"), F.col("o_custkey").alias("exp_name"), commands.alias("commands"))
+    # two hosts of its own for each experiment, so the output grows with the jobs
+    hosts = table(spark, folder, "customer").selectExpr(
+        "c_custkey as exp_name", "explode(array(c_custkey * 2, c_custkey * 2 + 1)) as host").withColumn(
+        "host_no", (F.col("host") % 3).cast("int"))
     return design.job_schedule(runs, hosts).drop("exp_name")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from queries import query, table
 from trialframe.operators import verbs
-from trialframe.operators.ordered import quantiles
+from trialframe.operators.ordered import positions, quantiles
 
 ORDER = ["ts", "event_id"]
 EVENTS = "(SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
@@ -143,8 +143,10 @@ def resample_hour(spark, folder):
 
 
 @query(f"""
-    SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS d, count(v) AS v_count, max(v) AS v_max
-    FROM {EVENTS} GROUP BY ALL""")
+    SELECT g.event_type, strftime(g.d, '%Y-%m-%d') AS d, count(v) AS v_count, max(v) AS v_max
+    FROM (SELECT event_type, unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS d
+          FROM events GROUP BY event_type) g
+    LEFT JOIN {EVENTS} e ON e.event_type = g.event_type AND date_trunc('day', ts) = g.d GROUP BY ALL""")
 def resample_groups(spark, folder):
     out = verbs.resample(verbs.groupby(events(spark, folder), "event_type"), "1D", "ts").apply(["count", "max"], ["v"])
     return out.select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("d"), "v_count", "v_max")
@@ -192,3 +194,56 @@ def group_tail(spark, folder):
 def exact_sample(spark, folder):
     drawn = verbs.call(table(spark, folder, "events"), "sample", {"frac": 0.3, "random_state": 7})
     return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query(f"""
+    SELECT g.user_id, strftime(g.h, '%Y-%m-%d %H:%M:%S') AS h, CAST(coalesce(sum(v), 0) AS BIGINT) AS v_sum, count(v) AS v_count
+    FROM (SELECT user_id, unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS h
+          FROM events GROUP BY user_id) g
+    LEFT JOIN {EVENTS} e ON e.user_id = g.user_id AND date_trunc('hour', ts) = g.h GROUP BY ALL""")
+def resample_groups_filled(spark, folder):
+    out = verbs.resample(by_user(events(spark, folder)), "1h", "ts").apply(["sum", "count"], ["v"])
+    return out.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("h"), F.col("v_sum").cast("bigint").alias("v_sum"), "v_count")
+
+
+@query("""
+    SELECT strftime(last_day(o_orderdate), '%Y-%m-%d') AS month, count(*) AS n, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS price
+    FROM orders GROUP BY ALL""")
+def resample_month(spark, folder):
+    df = table(spark, folder, "orders").selectExpr(
+        "o_orderdate as day", "1 as n", "cast(round(o_totalprice * 100) as bigint) as price")
+    out = verbs.resample(df, "ME", "day", fill_empty=False).apply(["count", "max"], ["price"])
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("month"), F.col("price_count").alias("n"), F.col("price_max").alias("price"))
+
+
+@query(f"""
+    SELECT strftime(g.t, '%Y-%m-%d %H:%M:%S') AS t, v
+    FROM (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 HOUR)) AS t FROM (SELECT date_trunc('minute', ts) AS m FROM events)) g
+    LEFT JOIN (SELECT date_trunc('minute', ts) AS m, max(v) AS v FROM {EVENTS} GROUP BY 1) e ON e.m = g.t""")
+def asfreq_hour(spark, folder):
+    df = events(spark, folder).groupBy(F.date_trunc("minute", "ts").alias("m")).agg(F.max("v").alias("v"))
+    return verbs.asfreq(df, "1h", "m").select(F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("t"), "v")
+
+
+@query("""
+    SELECT o_orderkey, round(first_value(v) OVER (PARTITION BY o_custkey, run ORDER BY o_orderdate, o_orderkey), 4) AS v_ewm
+    FROM (SELECT *, count(v) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS run
+          FROM (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1
+                       THEN round(o_totalprice, 2) END AS v FROM orders))""")
+def ewm_gaps(spark, folder):
+    """One value per customer and then only gaps: the mean stays."""
+    df = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.round("o_totalprice", 2).alias("price"))
+    group, order = verbs.groupby(df, "o_custkey"), ["o_orderdate", "o_orderkey"]
+    first = verbs.call(group, "cumcount", {"order_by": order, "name": "nth"}).withColumn("v", F.when(F.col("nth") == 0, F.col("price")))
+    done = verbs.ewm(verbs.groupby(first, "o_custkey"), order, alpha=0.5).apply("mean", ["v"], "_ewm")
+    return done.select("o_orderkey", F.round("v_ewm", 4).alias("v_ewm"))
+
+
+@query("""
+    SELECT doc_id, row_number() OVER (ORDER BY 'https://host.example/a/long/common/beginning/' || coalesce(text, ''), doc_id) - 1 AS place
+    FROM documents""")
+def long_text_order(spark, folder):
+    """Places in the order of whole texts that begin alike."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.lit("https://host.example/a/long/common/beginning/"), F.coalesce("text", F.lit(""))).alias("url"))
+    return positions(docs, [], ["url", "doc_id"], "place").select("doc_id", "place")

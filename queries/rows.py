@@ -78,12 +78,12 @@ def path_value_rows(spark, folder):
 @query("""
     SELECT c.c_custkey, coalesce(sum(o_totalprice_c), NULL) AS total, row_number() OVER (
              ORDER BY sum(o_totalprice_c) DESC NULLS LAST, c.c_custkey) - 1 AS place
-    FROM customer c LEFT JOIN (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalprice_c FROM orders
-                               WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey
+    FROM customer c LEFT JOIN (SELECT o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(round(o_totalprice * 100) AS BIGINT)
+                                      END AS o_totalprice_c FROM orders) o ON o_custkey = c_custkey
     GROUP BY c.c_custkey""".replace("coalesce(sum(o_totalprice_c), NULL)", "CAST(sum(o_totalprice_c) AS BIGINT)"))
 def sorted_report(spark, folder):
-    orders = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'").selectExpr(
-        "o_custkey as c_custkey", "cast(round(o_totalprice * 100) as bigint) as price")
+    orders = table(spark, folder, "orders").selectExpr(
+        "o_custkey as c_custkey", "case when o_orderpriority = '1-URGENT' then cast(round(o_totalprice * 100) as bigint) end as price")
     totals = table(spark, folder, "customer").select("c_custkey").join(
         orders.groupBy("c_custkey").agg(F.sum("price").alias("total")), "c_custkey", "left")
     numbered = verbs.call(totals, "reset_index", {"order_by": ["-total", "c_custkey"], "name": "place"})

@@ -71,6 +71,21 @@ def tree_csv_named(spark, folder):
     return rows.select(F.col("key").cast("bigint").alias("p_partkey"), "size", "name")
 
 
+@query("""
+    SELECT CAST(p_partkey AS VARCHAR) AS key, p_name || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'second line' ELSE '' END AS name,
+           CASE WHEN p_partkey % 2 = 0 THEN '["' || p_size || '"]' END AS extra
+    FROM part""")
+def tree_csv_ragged(spark, folder):
+    """Rows with more values than names, and quoted line breaks."""
+    target = new_shared_path(spark, "csv")
+    name = F.concat(F.lit('"'), "p_name", F.when(F.col("p_partkey") % 3 == 0, "\nsecond line").otherwise(""), F.lit('"'))
+    rest = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(","), F.col("p_size").cast("string"))).otherwise("")
+    rows = table(spark, folder, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(","), name, rest).alias("value"))
+    rows.write.text(target)
+    found = formats.csv_records(spark, [target], formats.CsvFiles(file_regex=r".*\.txt$", fieldnames=["key", "name"]))
+    return flatten_variant(found.drop("path"), "record").select("key", "name", F.col("_extra").alias("extra"))
+
+
 @query("""
     SELECT o_orderkey AS rep, kind, n FROM (
       SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'ignored' WHEN 2 THEN 'errors' WHEN 3 THEN 'json'

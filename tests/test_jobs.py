@@ -14,7 +14,8 @@ def test_tree_comparison(spark, tmp_path):
     left, right = str(tmp_path / "l"), str(tmp_path / "r")
     found = compare.compare_trees(spark, left, right, [r"\d+"], [r"skip\.log"]).collect()
     assert {(r["path"], r["line_no"], r["status"]) for r in found} == {
-        ("sub/a.txt", 2, "diff"), ("sub/a.txt", 3, "right_only"), ("only.txt", 0, "left_only")}
+        ("sub/a.txt", 2, "diff"), ("sub/a.txt", 3, "right_only"), ("only.txt", 0, "left_only"),
+        ("only.txt", -1, "left_only")}
     assert compare.same_trees(spark, left, left) and not compare.same_trees(spark, left, right)
 
 
@@ -80,3 +81,19 @@ def test_labels_round_trip(spark):
     assert tuple(parsed.first()) == ("a__b", "7", "e_1", "3", "0")
     with pytest.raises(Exception):
         df.select(jobs.job_label(["nope"])).collect()
+
+
+def test_trees_with_empty_and_binary_files(spark, tmp_path):
+    for side in ("l", "r", "same"):
+        (tmp_path / side / "d").mkdir(parents=True)
+        (tmp_path / side / "d" / "t.txt").write_text("one\n")
+        (tmp_path / side / ".gitkeep").write_text("")
+    left, right, same = (str(tmp_path / s) for s in ("l", "r", "same"))
+    assert compare.same_trees(spark, left, same)
+    (tmp_path / "l" / "none.txt").write_text("")
+    (tmp_path / "r" / "bin").write_bytes(b"\x00\x01\xff")
+    found = {(r["path"], r["status"]) for r in compare.compare_trees(spark, left, right).collect()}
+    assert found == {("none.txt", "left_only"), ("bin", "right_only")}
+    (tmp_path / "l" / "bin").write_bytes(b"\x00\x02\xff")
+    found = {(r["path"], r["status"]) for r in compare.compare_trees(spark, left, right).collect()}
+    assert found == {("none.txt", "left_only"), ("bin", "diff")}

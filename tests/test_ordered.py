@@ -148,6 +148,31 @@ def test_chunks_split_heavy_ties(spark):
     assert parts["count"].max() <= 250
 
 
+def test_long_texts_with_one_beginning_are_split(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20000).select(
+        F.concat(F.lit("https://host.example/some/long/path/"), F.xxhash64("id").cast("string")).alias("url"),
+        F.lit("same").alias("t"), "id")
+    for order in ("url", ["t", "id"], ["t", "-url"], "t"):
+        parts = with_chunks(df, order, 20000, 1000).groupBy("__chunk").count().toPandas()
+        assert parts["count"].max() <= 2500 and len(parts) > 10
+
+
+@pytest.mark.parametrize("column", ["b", "d", "x", "t"])
+def test_any_sortable_order_splits_a_group(spark, column):
+    spark.conf.set("spark.trialframe.chunkRows", "50")
+    try:
+        df = spark.range(900).selectExpr(
+            "id", "if(id % 3 = 0, 1, 0) as g", "cast(hex(id + 5000) as binary) as b", "cast(id as decimal(30, 2)) / 7 as d",
+            "named_struct('a', id % 2, 'b', id) as x", "concat('a common beginning of thirty bytes', lpad(id, 9, '0')) as t")
+        done = running(df, ["g"], column, {"n": Scan("count"), "s": Scan("sum", "id")}).toPandas()
+    finally:
+        spark.conf.unset("spark.trialframe.chunkRows")
+    plain = done.assign(k=done["id"] % 2 * (column == "x")).sort_values(["g", "k", "id"])
+    assert (plain.groupby("g").cumcount() + 1 == plain["n"]).all() and (plain.groupby("g")["id"].cumsum() == plain["s"]).all()
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=60))
 def test_running_sum_any_data(spark, data):

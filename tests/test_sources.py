@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from trialframe.sources import catalog, formats, results, tree as paths
 from trialframe.functions.flatten import flatten_structs, flatten_variant
 
+from trialframe.sources.tree import with_file_keys as tree_keys  # noqa: E402
+
 SPEC = {"json": formats.JsonFiles(), "yaml": formats.YamlFiles(), "csv": formats.CsvFiles(),
         "errors": formats.ErrorFiles(), "ignored": formats.IgnoredFiles()}
 
@@ -93,10 +95,36 @@ def test_csv_forms(spark, tmp_path):
     assert {r[0] for r in named.select(F.to_json("record")).collect()} == {'{"x":"1","y":"2"}', '{"x":"3","y":"4"}'}
     bare = formats.csv_records(spark, [str(tmp_path)], formats.CsvFiles(delimiter=";", has_header=False))
     assert '{"_c0":"1","_c1":"2"}' in {r[0] for r in bare.select(F.to_json("record")).collect()}
-    skipped = formats.csv_records(spark, [str(tmp_path)], formats.CsvFiles(delimiter=";", fieldnames=["x", "y"]))
+    kept = formats.csv_records(spark, [str(tmp_path)], formats.CsvFiles(delimiter=";", fieldnames=["x", "y"]))
+    assert kept.count() == 2
+    skipped = formats.csv_records(spark, [str(tmp_path)], formats.CsvFiles(delimiter=";", has_header=True, fieldnames=["x", "y"]))
     assert skipped.count() == 1
 
 
+def test_csv_values_are_never_lost(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2,3\n4\n\n5,\"6,7\",,8\n")
+    (tmp_path / "torn.csv").write_text('a,"long\nname"\n"x\ny","say ""hi"""\n1,2,3,4\n')
+    rows = formats.csv_records(spark, [str(tmp_path)])
+    got = {r[0] for r in rows.select(F.to_json("record")).collect()}
+    assert got == {'{"_extra":"[\\"3\\"]","a":"1","b":"2"}', '{"a":"4","b":null}', '{"_extra":"[\\"8\\"]","a":"5","b":"6,7"}',
+                   '{"a":"x\\ny","long\\nname":"say \\"hi\\""}', '{"_extra":"[\\"3\\",\\"4\\"]","a":"1","long\\nname":"2"}'}
+    bare = formats.csv_records(spark, [str(tmp_path / "ragged.csv")], formats.CsvFiles(has_header=False))
+    assert '{"_c0":"1","_c1":"2","_c2":"3"}' in {r[0] for r in bare.select(F.to_json("record")).collect()}
+
+
+def test_infinite_numbers_of_yaml_stay(spark):
+    docs = spark.createDataFrame([("p", "{a: .inf, b: -.Inf, c: .nan, d: [.inf]}")], "path string, content string")
+    row = formats.yaml_records(docs).selectExpr("variant_get(record, '$.a', 'double') a", "variant_get(record, '$.b', 'double') b",
+                                                "variant_get(record, '$.c', 'double') c", "variant_get(record, '$.d[0]', 'double') d").first()
+    assert row[:] == (float("inf"), float("-inf"), None, float("inf"))
+
+
+def test_numbers_beyond_an_integer_are_an_error(spark):
+    path = spark.createDataFrame([("/r/s_1/exp/run_99999999999/rep_0/h/host_0/out.json",)], "path string")
+    with pytest.raises(Exception, match="99999999999"):
+        tree_keys(path).collect()
+
+
 def test_large_csv_is_split_over_tasks(spark, tmp_path):
     (tmp_path / "big.csv").write_text("n,t\n" + "".join(f"{i},{'x' * 30}\n" for i in range(20000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")

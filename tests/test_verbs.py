@@ -147,7 +147,7 @@ def test_time_verbs(spark):
     ticks = verbs.call(df, "asfreq", {"freq": "1h", "on": "ts"})
     assert ticks.count() == 5 and ticks.filter("v is not null").count() == 1
     with pytest.raises(ValueError):
-        verbs.rule_seconds("3 parsecs")
+        verbs.rule_micros("3 parsecs")
 
 
 def test_group_options(df):
@@ -233,3 +233,74 @@ def test_every_listed_verb_is_known():
         shift pct_change rank rolling expanding ewm resample asfreq reset_index set_index between_time at_time idxmax
         idxmin applymap map apply transform pipe filter eval query""".split()
     assert [n for n in names if n not in verbs.VERBS] == []
+
+
+def times(spark, n=40, step="37 hours 30 minutes"):
+    return spark.range(n).selectExpr(
+        "id", "if(id % 3 = 0, 'a', 'b') as g", f"timestamp'2024-01-10 00:30:00' + cast(id as int) * interval '37' hour as ts",
+        "if(id % 5 = 0, null, cast(id as double)) as v")
+
+
+@pytest.mark.parametrize("rule", ["12h", "7D", "W", "ME", "MS", "QE", "YS", "500ms"])
+def test_resample_like_pandas(spark, rule):
+    df = times(spark, 3 if rule == "500ms" else 40)
+    got = verbs.resample(df, rule, "ts").apply(["sum", "count"], ["v"]).toPandas().sort_values("ts").reset_index(drop=True)
+    p = df.toPandas().set_index("ts")["v"].resample(rule, **({"origin": "epoch"} if rule in ("12h", "7D", "500ms") else {})).agg(["sum", "count"])
+    assert got["ts"].tolist() == p.index.tolist()
+    assert got["v_sum"].tolist() == p["sum"].tolist() and got["v_count"].tolist() == p["count"].tolist()
+
+
+@pytest.mark.parametrize("rule", ["1D", "W", "ME"])
+def test_resample_fills_groups(spark, rule):
+    df = times(spark)
+    got = verbs.resample(verbs.groupby(df, "g"), rule, "ts").apply("count", ["v"]).toPandas().sort_values(["g", "ts"])
+    p = df.toPandas().set_index("ts").groupby("g")["v"].resample(rule).count().reset_index()
+    assert got[["g", "ts", "v"]].values.tolist() == p[["g", "ts", "v"]].values.tolist()
+
+
+def test_asfreq_starts_at_the_first_time(spark):
+    df = times(spark, 5)
+    got = verbs.asfreq(df, "1h", "ts").toPandas().sort_values("ts")
+    p = df.toPandas().set_index("ts").asfreq("1h")
+    assert got["ts"].tolist() == p.index.tolist() and got["id"].notna().sum() == 5
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+def test_ewm_keeps_its_mean_over_long_gaps(spark, adjust):
+    df = spark.range(1500).selectExpr("id", "if(id < 3 or id = 1200 or id > 1400, cast(id % 7 as double), null) as v", "id % 2 as g")
+    got = verbs.ewm(df, "id", alpha=0.5, adjust=adjust).apply("mean", ["v"], "_m").toPandas().sort_values("id")["v_m"]
+    want = df.toPandas()["v"].ewm(alpha=0.5, adjust=adjust).mean()
+    # without adjustment pandas resets its weights at every value, which shows after a gap only
+    rows = slice(0, 1500 if adjust else 1200)
+    assert got.notna().all() and abs(got.to_numpy() - want.to_numpy())[rows].max() < 1e-9
+
+
+@pytest.mark.parametrize("func", ["median", "first", "last", "max"])
+def test_pivot_table_functions(spark, func):
+    df = times(spark).selectExpr("id", "id % 4 as k", "g", "v")
+    got = verbs.pivot_table(df, "k", "g", "v", func, order_by="id").toPandas().sort_values("k").set_index("k")
+    want = df.toPandas().pivot_table(index="k", columns="g", values="v", aggfunc=func)
+    assert got[["a", "b"]].to_numpy().tolist() == want[["a", "b"]].to_numpy().tolist()
+
+
+def test_mapping_aggregates_scan_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = verbs.groupby(df, "l_returnflag").agg({"l_quantity": ["mean", "max"], "l_tax": "min"})
+    assert out.columns == ["l_returnflag", "l_quantity_mean", "l_quantity_max", "l_tax_min"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_expressions_keep_quoted_text(spark):
+    from trialframe.operators import transforms
+
+    df = spark.createDataFrame([("a==b",), ("a&&b",), ('say "x"',)], "n string")
+    assert transforms.keep_where(df, "n == 'a==b'").count() == 1
+    assert transforms.add_expression(df, "m = n == 'a==b'").filter("m").count() == 1
+
+
+def test_predicates_keep_quoted_text(spark):
+    from trialframe.plans.layout import predicate
+
+    df = spark.createDataFrame([("a==b", 1), ("a&&b", 2), ('say "x"', 3)], "`the name` string, k int")
+    for text, k in ((""" "the name" == 'a==b' """, 1), (""" `the name` == 'a&&b' && k == `2` """, 2), (""" "the name" == 'say "x"' || k == 9 """, 3)):
+        assert [r.k for r in df.filter(predicate(text)).collect()] == [k]

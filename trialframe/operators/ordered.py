@@ -1,28 +1,24 @@
 """Ordered computations (running values, offsets, frames, positions) that hold when one group is huge.
 
 A plain window sends a whole group to one task. That is fine for groups of bounded size, and Spark does the rest.
-A group above the bound (``spark.trialframe.chunkRows``, or a 20,000th of the input if that is more) is cut into
-consecutive chunks along its order: chunk borders are quantiles of the order columns over the rows of such groups, so
-a group with a third of all rows is spread over many chunks. Every chunk is processed on its own, and a small table
+A group above the bound (``spark.trialframe.chunkRows``) is cut into consecutive chunks along its order: chunk borders are
+quantiles of the order columns over the rows of such groups, so a group with a third of all rows is spread over many chunks. Every chunk is processed on its own, and a small table
 with one row per (group, chunk) carries totals forward.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trialframe.columns import as_list, col, dtype_of, key_struct
+from trialframe.columns import as_list, col, key_struct
 from trialframe.session import cut, settled
 
 DEFAULT_CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 20_000
+BROADCAST_GROUPS = 20_000
 CHUNK = "__chunk"
 PLACE = "__place"
 GROUP = "__group"
@@ -76,101 +72,30 @@ def count_rows(df: DataFrame, names: Sequence[str]) -> int:
 
 # ---------------------------------------------------------------- chunks
 
-def _text_digit(c: Column, start: int) -> Column:
-    """Six bytes of a string as a number; larger text gives a larger or equal number."""
-    piece = F.substring(F.encode(c, "UTF-8"), start, 6)
-    return F.conv(F.rpad(F.hex(piece), 12, "0"), 16, 10).cast("double")
-
-
-def _digits(key: OrderKey, dtype: T.DataType) -> tuple[list[Column], bool]:
-    """Order-preserving doubles for a sort column and whether they identify its value completely."""
-    c = col(key.name)
-    if isinstance(dtype, T.StringType):
-        return [_text_digit(c, s) for s in (1, 7, 13, 19)], False
-    if isinstance(dtype, T.TimestampType):
-        c, dtype = F.unix_micros(c), T.LongType()
-    elif isinstance(dtype, T.TimestampNTZType):
-        c, dtype = F.unix_micros(c.cast("timestamp")), T.LongType()
-    elif isinstance(dtype, T.DateType):
-        return [F.unix_date(c).cast("double")], True
-    elif isinstance(dtype, T.BooleanType):
-        return [c.cast("int").cast("double")], True
-    if isinstance(dtype, T.LongType):
-        return [F.shiftright(c, 32).cast("double"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")], True
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        value = c.cast("double")
-        return [F.when(F.isnan(value), F.lit(float("inf"))).otherwise(value)], True
-    if isinstance(dtype, T.NumericType):
-        exact = not isinstance(dtype, T.DecimalType) or dtype.precision <= 15
-        return [c.cast("double")], exact
-    return [], False
-
-
-def _borders(df: DataFrame, digit: Column, pieces: int) -> tuple[list[float], set[float]]:
-    """Inner borders that cut a column into about equal pieces, and values too frequent for one piece."""
-    steps = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(digit, steps, max(10_000, 10 * pieces)).alias("q")).first()["q"] or []
-    finite = [float(v) for v in found if v is not None and math.isfinite(v)]
-    heavy = {v for v, after in zip(finite, finite[1:], strict=False) if v == after}
-    cuts = set(finite) | {math.nextafter(v, math.inf) for v in heavy}
-    return sorted(c for c in cuts if math.isfinite(c)), heavy
-
-
-def with_chunks(df: DataFrame, order, rows: int, target: int, source: DataFrame | None = None) -> DataFrame:
-    """Add a chunk number that grows with the order and holds about ``target`` rows per value.
-
-    Borders are taken from ``source`` (``rows`` rows, by default the frame itself).
+def with_chunks(df: DataFrame, order, rows: int, target: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Add a chunk number that grows with the order (below the keys) and holds about ``target`` of ``rows`` rows.
+
+    Borders are quantiles of the whole order tuple, sampled by Spark's range partitioning, so any sortable type will
+    do and texts count to their last byte; rows that agree in all order columns are told apart by a number of their own.
+    The numbered frame is written once, as borders drawn again could differ.
     """
-    keys = order_keys(order)
-    number = F.lit(0).cast("bigint")
-    inside_heavy = F.lit(True)
-    todo = df if source is None else source
-    share = rows
-    temp: list[str] = []
-    for key in keys:
-        digits, exact = _digits(key, dtype_of(df, key.name))
-        for digit in digits:
-            share = todo.count() if temp else rows
-            pieces = min(MAX_CHUNKS, -(-share // target))
-            if pieces < 2:
-                break
-            cuts, heavy = _borders(todo, digit, pieces)
-            if not cuts:
-                continue
-            raw, out = f"__chunk_digit{len(temp)}", f"__chunk_bucket{len(temp)}"
-            df = df.withColumn(raw, F.coalesce(digit, F.lit(0.0)))
-            df = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=raw, outputCol=out).transform(df)
-            place = F.col(out).cast("bigint")
-            if not key.ascending:
-                place = F.lit(len(cuts)).cast("bigint") - place
-            # missing values sort last in both directions
-            place = F.when(col(key.name).isNull(), F.lit(len(cuts) + 1).cast("bigint")).otherwise(place)
-            number = number * F.lit(len(cuts) + 2) + F.when(inside_heavy, place).otherwise(F.lit(0).cast("bigint"))
-            temp += [raw, out]
-            # only rows that share one frequent value are cut further, by what comes next in the order
-            same = (digit.isin(sorted(heavy)) if heavy else F.lit(False)) | col(key.name).isNull()
-            same = F.coalesce(same, F.lit(False))
-            inside_heavy = inside_heavy & same
-            todo = todo.filter(same)
-        if share // target < 1 or not exact:
-            break
-    return df.withColumn(CHUNK, number).drop(*temp)
-
-
-def group_bound(rows: int, target: int) -> int:
-    """Groups up to this size are left to one task; at most 20,000 groups can be larger."""
-    return max(target, -(-rows // MAX_CHUNKS))
+    pieces = max(1, -(-rows // target))
+    tie = F.col("__tie")
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(
+        pieces, *[col(k) for k in keys], *sort_columns(order), tie)
+    return cut(ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")).drop("__tie"))
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], rows: int, target: int) -> tuple[DataFrame, int]:
-    """Keys of the groups above the bound, and how many rows they hold together.
+    """Keys of the groups above ``target`` rows, and how many rows they hold together.
 
-    Sizes are counted with partial sums per task. There are at most ``MAX_CHUNKS`` such groups, whatever the size of
-    the input, so the result can be broadcast.
+    Sizes are counted with partial sums per task. The list is marked for a broadcast only while it is short.
     """
     sizes = df.groupBy(key_struct(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("__size"))
-    found = cut(sizes.filter(F.col("__size") > group_bound(rows, target)))
-    return found.select(GROUP, F.lit(True).alias(LARGE)), found.agg(F.sum("__size")).first()[0] or 0
+    found = cut(sizes.filter(F.col("__size") > target))
+    n, held = found.agg(F.count(F.lit(1)), F.sum("__size")).first()
+    listed = found.select(GROUP, F.lit(True).alias(LARGE))
+    return F.broadcast(listed) if n <= BROADCAST_GROUPS else listed, held or 0
 
 
 def in_bounds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
@@ -240,9 +165,9 @@ def running(
             split = large_rows > 0
     if split:
         if keys:
-            df = df.withColumn(GROUP, key_struct(keys)).join(F.broadcast(found), GROUP, "left").drop(GROUP)
-            df = with_chunks(df, order, large_rows, target, df.filter(F.col(LARGE)))
-            df = df.withColumn(CHUNK, F.when(F.col(LARGE), F.col(CHUNK)).otherwise(F.lit(0).cast("bigint")))
+            marked = df.withColumn(GROUP, key_struct(keys)).join(found, GROUP, "left").drop(GROUP)
+            large = with_chunks(marked.filter(F.col(LARGE)), order, large_rows, target, keys)
+            df = large.unionByName(marked.filter(F.col(LARGE).isNull()).withColumn(CHUNK, F.lit(0).cast("bigint")))
         else:
             df = with_chunks(df, order, rows, target).withColumn(LARGE, F.lit(True))
         df = df.withColumn("__part", key_struct([*keys, CHUNK]))

@@ -56,9 +56,18 @@ def choose_columns(df: DataFrame, items: Sequence[str] | None = None, like: str
     return df.select(*[col(n) for n in names])
 
 
+#: quoted texts and names in an expression
+QUOTED = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""", re.DOTALL)
+
+
+def outside_quotes(expression: str, change) -> str:
+    """Apply ``change`` to the parts of an expression that are not quoted."""
+    return "".join(part if i % 2 else change(part) for i, part in enumerate(QUOTED.split(expression)))
+
+
 def sql_text(expression: str) -> str:
     """``==`` is accepted for equality; everything else is a Spark SQL expression."""
-    return expression.replace("==", "=")
+    return outside_quotes(expression, lambda part: part.replace("==", "="))
 
 
 def add_expression(df: DataFrame, expr: str) -> DataFrame:

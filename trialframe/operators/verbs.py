@@ -31,6 +31,7 @@ from trialframe.operators.ordered import (
     ranks,
     running,
 )
+from trialframe.session import cut
 
 
 def _numeric(df: DataFrame, columns=None) -> list[str]:
@@ -405,9 +406,14 @@ def pivot(df: DataFrame, index, columns: str, values: str) -> DataFrame:
 
 
 def pivot_table(df: DataFrame, index, columns: str, values: str, aggfunc: str = "mean",
-                levels: Sequence | None = None) -> DataFrame:
-    grouped = df.groupBy(*[col(i) for i in as_list(index)])
-    return grouped.pivot(columns, list(levels) if levels else None).agg(agg.SIMPLE[aggfunc](col(values)))
+                levels: Sequence | None = None, order_by=None) -> DataFrame:
+    """Long to wide with an aggregate per cell; ``first`` and ``last`` go by ``order_by``."""
+    if aggfunc in agg.SIMPLE:
+        cell = agg.SIMPLE[aggfunc](col(values))
+        return df.groupBy(*[col(i) for i in as_list(index)]).pivot(columns, list(levels) if levels else None).agg(cell)
+    # other aggregates are computed per cell first, which leaves one row for each
+    cells = agg.aggregate(df, [*as_list(index), columns], [values], [aggfunc], order_by=order_by, names=lambda c, f: c)
+    return cells.groupBy(*[col(i) for i in as_list(index)]).pivot(columns, list(levels) if levels else None).agg(F.first(col(values)))
 
 
 def unstack(df: DataFrame, index, columns: str, values: str) -> DataFrame:
@@ -440,10 +446,16 @@ def summarize(df: DataFrame, func, columns=None, order_by=None) -> DataFrame:
                          names=(lambda c, f: c) if single else (lambda c, f: f"{c}_{f}"))
 
 
+def _mapped(df: DataFrame, keys: Sequence[str], func: Mapping, order_by) -> DataFrame:
+    """``{column: functions}`` in one aggregate call; Spark drops the pairs that were not asked for."""
+    functions = list(dict.fromkeys(f for fs in func.values() for f in as_list(fs)))
+    out = agg.aggregate(df, keys, list(func), functions, order_by=order_by)
+    return out.select(*[col(k) for k in keys], *[col(f"{c}_{f}") for c, fs in func.items() for f in as_list(fs)])
+
+
 def aggregate_verb(df: DataFrame, func, order_by=None) -> DataFrame:
     if isinstance(func, Mapping):
-        parts = [agg.aggregate(df, [], [c], as_list(f), order_by=order_by) for c, f in func.items()]
-        return agg.side_by_side(parts)
+        return _mapped(df, [], func, order_by)
     return summarize(df, func, order_by=order_by)
 
 
@@ -484,8 +496,7 @@ class Grouped:
     def agg(self, func, columns=None, order_by=None) -> DataFrame:
         frame = self.frame()
         if isinstance(func, Mapping):
-            parts = [agg.aggregate(frame, self.keys, [c], as_list(f), order_by=order_by) for c, f in func.items()]
-            out = reduce(lambda a, b: join_keys(a, b, self.keys), parts)
+            out = _mapped(frame, self.keys, func, order_by)
         else:
             single = isinstance(func, str)
             out = agg.aggregate(frame, self.keys, self.data(columns), as_list(func), order_by=order_by,
@@ -641,7 +652,7 @@ class Expanding:
 
 @dataclass(frozen=True)
 class Ewm:
-    """Exponentially weighted mean.
+    """Exponentially weighted mean; a missing value keeps the mean and ages the values before it.
 
     Weights of rows a block back underflow in double precision, so a block needs its own weighted sums and those
     of the block before it; no group is scanned as a whole.
@@ -676,17 +687,24 @@ class Ewm:
         group = [*keys, "__block"]
         scans = {f"__s{t}{i}": Scan("sum", f"__{t}{i}") for i in range(len(names)) for t in "xw"}
         here = running(blocks, group, self.order_by, scans)
-        end = F.lit(decay ** size)
-        totals = blocks.groupBy(*[col(k) for k in keys], (F.col("__block") + 1).alias("__block")).agg(
-            *[(F.sum(f"__{t}{i}") * end).alias(f"__b{t}{i}") for i in range(len(names)) for t in "xw"])
-        both = join_keys(here, totals, group, "left")
-        fade = F.pow(F.lit(decay), F.col("__in").cast("double"))
-
-        def part(tag: str, i: int) -> Column:
-            return fade * (F.coalesce(F.col(f"__s{tag}{i}"), F.lit(0.0)) + F.coalesce(F.col(f"__b{tag}{i}"), F.lit(0.0)))
-
-        values = {c + suffix: F.try_divide(part("x", i), part("w", i)) for i, c in enumerate(names)}
-        helper = [f"__{t}{i}" for t in ("x", "w", "sx", "sw", "bx", "bw") for i in range(len(names))]
+        # the last block before with values: its own sums stand for all earlier ones, which weigh nothing next to them
+        totals = cut(blocks.groupBy(*[col(k) for k in keys], "__block").agg(
+            *[F.sum(f"__{t}{i}").alias(f"__t{t}{i}") for i in range(len(names)) for t in "xw"]))
+        totals = totals.withColumns({f"__tb{i}": F.when(F.col(f"__tw{i}").isNotNull(), F.col("__block")) for i in range(len(names))})
+        marks = {f"__b{t}{i}": Scan("last", f"__t{t}{i}", exclusive=True) for i in range(len(names)) for t in "xwb"}
+        before = running(totals, keys, "__block", marks).select(*[col(k) for k in keys], "__block", *marks)
+        both = join_keys(here, before, group, "left")
+
+        def value(i: int) -> Column:
+            fade = F.pow(F.lit(decay), F.lit(float(size)) * (F.col("__block") - F.col(f"__bb{i}")))
+            own_x, own_w = F.col(f"__sx{i}"), F.col(f"__sw{i}")
+            old_x, old_w = F.coalesce(F.col(f"__bx{i}") * fade, F.lit(0.0)), F.coalesce(F.col(f"__bw{i}") * fade, F.lit(0.0))
+            # without values of its own yet a block stays at the mean that it began with
+            return F.when(own_w.isNull(), F.try_divide(F.col(f"__bx{i}"), F.col(f"__bw{i}"))).otherwise(
+                F.try_divide(own_x + old_x, own_w + old_w))
+
+        values = {c + suffix: value(i) for i, c in enumerate(names)}
+        helper = [f"__{t}{i}" for t in ("x", "w", "sx", "sw", "bx", "bw", "bb") for i in range(len(names))]
         return both.withColumns(values).drop(PLACE, "__block", "__in", *helper)
 
 
@@ -715,53 +733,84 @@ def ewm(obj, order_by, alpha: float | None = None, span: float | None = None, co
 # ---------------------------------------------------------------- time
 
 UNITS = {
-    "s": 1, "sec": 1, "S": 1, "min": 60, "T": 60, "h": 3600, "H": 3600, "hour": 3600, "D": 86400, "d": 86400,
-    "day": 86400, "W": 604800,
+    "us": 1, "ms": 1_000, "s": 1_000_000, "sec": 1_000_000, "S": 1_000_000, "min": 60_000_000, "T": 60_000_000,
+    "h": 3_600_000_000, "H": 3_600_000_000, "hour": 3_600_000_000, "D": 86_400_000_000, "d": 86_400_000_000,
+    "day": 86_400_000_000,
 }
+# months of a calendar period, and whether it is named by its last day; weeks end on Sunday and are named by it
+MONTHS = {"MS": (1, False), "QS": (3, False), "YS": (12, False), "ME": (1, True), "M": (1, True), "QE": (3, True), "Q": (3, True),
+          "YE": (12, True), "Y": (12, True)}
 
 
-def rule_seconds(rule: str) -> int:
+def rule_micros(rule: str) -> int | None:
+    """Length of a rule of fixed length; None for calendar periods."""
     found = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+)\s*", rule)
-    if not found or found.group(2) not in UNITS:
-        raise ValueError(f"unknown time rule {rule!r}")
-    return int(found.group(1) or 1) * UNITS[found.group(2)]
-
-
-def bucket_start(time: Column, seconds: int) -> Column:
-    """Start of the fixed-length time bucket, counted from the epoch."""
-    micros = F.unix_micros(time.cast("timestamp"))
-    width = F.lit(seconds * 1_000_000).cast("bigint")
-    return F.timestamp_micros(micros - F.pmod(micros, width))
+    count, unit = (int(found.group(1) or 1), found.group(2)) if found else (0, "")
+    if count > 0 and unit in UNITS:
+        return count * UNITS[unit]
+    if count == 1 and (unit in MONTHS or unit in ("W", "W-SUN")):
+        return None
+    if count > 1 and unit in ("W", "W-SUN", *MONTHS):
+        raise ValueError(f"a calendar rule takes single periods: {rule!r}")
+    raise ValueError(f"unknown time rule {rule!r}")
+
+
+def _period(rule: str) -> tuple[int, bool] | None:
+    return MONTHS.get(re.sub(r"[\s\d]", "", rule))
+
+
+def bucket_start(time: Column, rule: str) -> Column:
+    """Name of the time's bucket: the start of a fixed length counted from the epoch, or a calendar period's first or last day."""
+    width = rule_micros(rule)
+    if width is not None:
+        micros = F.unix_micros(time.cast("timestamp"))
+        return F.timestamp_micros(micros - F.pmod(micros, F.lit(width).cast("bigint")))
+    day, period = time.cast("date"), _period(rule)
+    if period is None:
+        return F.date_add(day, (8 - F.dayofweek(day)) % 7).cast("timestamp")
+    months, last = period
+    first = F.trunc(day, {1: "month", 3: "quarter", 12: "year"}[months])
+    return (F.last_day(F.add_months(first, months - 1)) if last else first).cast("timestamp")
+
+
+def bucket_names(low: Column, high: Column, rule: str) -> Column:
+    """All bucket names from one to another, as an array."""
+    width = rule_micros(rule)
+    if width is not None:
+        steps = F.sequence(F.unix_micros(low), F.unix_micros(high), F.lit(width).cast("bigint"))
+        return F.transform(steps, F.timestamp_micros)
+    period = _period(rule)
+    if period is None:
+        return F.transform(F.sequence(low.cast("date"), high.cast("date"), F.expr("interval 7 days")), lambda d: d.cast("timestamp"))
+    months, last = period
+    begin = lambda c: F.add_months(F.trunc(c.cast("date"), "month"), 1 - months if last else 0)
+    firsts = F.sequence(begin(low), begin(high), F.expr(f"interval {months} months"))
+    return F.transform(firsts, lambda d: (F.last_day(F.add_months(d, months - 1)) if last else d).cast("timestamp"))
 
 
 @dataclass(frozen=True)
 class Resampler:
-    """Time buckets of fixed length; buckets without rows are kept (sum and count 0, other results missing)."""
+    """Time buckets; buckets without rows between a group's first and last are kept (sum and count 0, other results missing)."""
 
     source: DataFrame | Grouped
     rule: str
     on: str
     fill_empty: bool = True
 
-    def grid(self, df: DataFrame) -> DataFrame:
-        step = rule_seconds(self.rule) * 1_000_000
-        low, high = df.agg(F.min(F.unix_micros(bucket_start(col(self.on), step // 1_000_000))),
-                           F.max(F.unix_micros(bucket_start(col(self.on), step // 1_000_000)))).first()
-        low = 0 if low is None else low
-        stop = low if high is None else high + step
-        ticks = df.sparkSession.range(low, stop, step)
-        return ticks.select(F.timestamp_micros(F.col("id")).alias(self.on))
-
     def apply(self, func, columns=None) -> DataFrame:
         df, keys = _source(self.source)
         names = as_list(columns) or [c for c in numeric_columns(df) if c not in keys and c != self.on]
-        buckets = df.withColumn(self.on, bucket_start(col(self.on), rule_seconds(self.rule)))
+        buckets = df.withColumn(self.on, bucket_start(col(self.on), self.rule))
         single = isinstance(func, str)
         label = (lambda c, f: c) if single else (lambda c, f: f"{c}_{f}")
         out = agg.aggregate(buckets, [*keys, self.on], names, as_list(func), names=label)
-        if not self.fill_empty or keys:
+        if not self.fill_empty:
             return out
-        full = self.grid(df).join(out, self.on, "left")
+        out = cut(out)
+        low, high = F.min(col(self.on)), F.max(col(self.on))
+        ends = out.groupBy(*[col(k) for k in keys]).agg(low.alias("__low"), high.alias("__high")).filter("__low is not null")
+        grid = ends.select(*[col(k) for k in keys], F.explode(bucket_names(F.col("__low"), F.col("__high"), self.rule)).alias(self.on))
+        full = join_keys(grid, out, [*keys, self.on], "left")
         zero = {label(c, f): F.coalesce(col(label(c, f)), F.lit(0))
                 for c in names for f in as_list(func) if f in ("sum", "count", "size", "nunique")}
         return full.withColumns(zero) if zero else full
@@ -772,9 +821,14 @@ def resample(obj, rule: str, on: str, fill_empty: bool = True) -> Resampler:
 
 
 def asfreq(df: DataFrame, freq: str, on: str) -> DataFrame:
-    """One row per tick from the first to the last bucket; ticks without a row at that very time stay empty."""
+    """One row per tick from the first time to the last; ticks without a row at that very time stay empty."""
+    step = rule_micros(freq)
+    if step is None:
+        raise ValueError(f"asfreq takes rules of fixed length, not {freq!r}")
     at_tick = df.withColumn(on, col(on).cast("timestamp"))
-    return Resampler(df, freq, on).grid(df).join(at_tick, on, "left").select(*[col(c) for c in df.columns])
+    low, high = at_tick.agg(F.min(F.unix_micros(col(on))), F.max(F.unix_micros(col(on)))).first()
+    ticks = df.sparkSession.range(low or 0, 0 if low is None else high + 1, step)
+    return ticks.select(F.timestamp_micros("id").alias(on)).join(at_tick, on, "left").select(*[col(c) for c in df.columns])
 
 
 def _clock(time: str) -> str:

@@ -24,6 +24,7 @@ from trialframe.operators import transforms as tf
 from trialframe.operators import verbs
 from trialframe.plans.design import factor_columns
 from trialframe.plans.layout import chart_tables
+from trialframe.session import cut
 from trialframe.sinks import writers
 from trialframe.sources import formats as fm
 from trialframe.sources.results import extract
@@ -328,16 +329,11 @@ def transform(df: DataFrame, steps: Sequence[Mapping], registry: Registry = STAN
 
 
 def load(df: DataFrame, loaders: Mapping[str, Mapping], info: LoadInfo, registry: Registry = STANDARD) -> None:
-    """Run all loaders on the frame; it is kept in memory or on disk while several of them read it."""
-    shared = len(loaders) > 1
-    if shared:
-        df = df.persist()
-    try:
-        for name, options in loaders.items():
-            registry.loaders[name](df, info, **dict(options or {}))
-    finally:
-        if shared:
-            df.unpersist()
+    """Run all loaders on the frame; it is written to the shared folder first if several of them read it."""
+    if len(loaders) > 1:
+        df = cut(df)
+    for name, options in loaders.items():
+        registry.loaders[name](df, info, **dict(options or {}))
 
 
 def prepare(spec: Mapping, sources: Mapping | None = None, registry: Registry = STANDARD,

@@ -29,6 +29,7 @@ from trialframe.operators.ordered import (
     quantiles,
     running,
 )
+from trialframe.operators.transforms import QUOTED
 from trialframe.session import cut, settled
 
 METRIC, UNIT = "$metrics$", "$metric_unit$"
@@ -129,7 +130,7 @@ def value_rank(name: str, allowed: Sequence[str]) -> Column:
 # fixed values: spellings accepted in predicates and their SQL form
 PREDICATE_FORMS = {
     "&&": " and ", "||": " or ", "==": "=", "starts_with(": "startswith(", "ends_with(": "endswith(",
-    "to_number(": "double(", '"': "`",
+    "to_number(": "double(",
 }
 
 
@@ -138,10 +139,20 @@ def predicate(text: str) -> Column:
 
     Also accepted: ``&&``, ``||``, ``==``, double quotes around column names, back-ticks around literal numbers.
     """
-    text = re.sub(r"`(-?\d+(?:\.\d+)?|true|false)`", r"\1", text)
-    for form, sql in PREDICATE_FORMS.items():
-        text = text.replace(form, sql)
-    return F.expr(text)
+    def plain(part: str) -> str:
+        for form, sql in PREDICATE_FORMS.items():
+            part = part.replace(form, sql)
+        return part
+
+    out = []
+    for i, part in enumerate(QUOTED.split(text)):
+        if i % 2 == 0:
+            out.append(plain(part))
+        elif part[0] == "`":
+            out.append(re.sub(r"^`(-?\d+(?:\.\d+)?|true|false)`$", r"\1", part))
+        else:
+            out.append("`" + part[1:-1] + "`" if part[0] == '"' else part)
+    return F.expr("".join(out))
 
 
 @dataclass(frozen=True)
@@ -258,7 +269,8 @@ def box_statistics(df: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 def _fences(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
     present = df.filter(col(value).isNotNull())
-    stats = quantiles(present, list(keys), value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # read for the result, for the fences and for their size
+    stats = cut(quantiles(present, list(keys), value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = stats.select(*[col(k) for k in keys], (F.col("q1") - reach).alias("__low"),
                           (F.col("q3") + reach).alias("__high"))

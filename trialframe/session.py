@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
+import re
 import tempfile
 import uuid
 
@@ -12,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: paths that each application wrote below its shared folder
+_written: dict[str, list[str]] = {}
+
+
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the session is given."""
     builder = (
@@ -29,9 +32,15 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in one process gets a temporary one; a cluster, whose machines would each
+    see a folder of their own, is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.trialframe.sharedFolder", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="trialframe-")
         spark.conf.set("spark.trialframe.sharedFolder", named)
     return named
@@ -39,7 +48,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,10 +67,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def is_costly(df: DataFrame) -> bool:
     """Does computing the frame move rows between tasks or through Python?"""
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain()
-    return any(sign in text.getvalue() for sign in ("Exchange", "InPandas", "ArrowEvalPython", "BatchEvalPython"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any(sign in plan for sign in ("Exchange", "InPandas", "InArrow", "ArrowEvalPython", "BatchEvalPython"))
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that this session wrote to the shared folder; frames that read them end with it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        target = hadoop.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def settled(df: DataFrame) -> DataFrame:

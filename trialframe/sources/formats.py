@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re as _re
 import sys
@@ -14,7 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.columns import as_list, broadcast_if_small, col
+from trialframe.columns import as_list, broadcast_if_small, col, small_enough
+from trialframe.session import cut
 from trialframe.sources.tree import matches_any, plain_path
 
 # the YAML helpers travel with the task, so executors need no copy of this package
@@ -51,7 +54,8 @@ class YamlFiles(Extractor):
 class CsvFiles(Extractor):
     file_regex: str | Sequence[str] = field(default=(r".*\.csv$",))
     delimiter: str = ","
-    has_header: bool = True
+    #: by default the first row is a header unless ``fieldnames`` are given
+    has_header: bool | None = None
     fieldnames: Sequence[str] | None = None
 
 
@@ -80,9 +84,9 @@ def uncovered(files: DataFrame, extractors: dict[str, Extractor], name: str = "s
 
 
 def require_coverage(files: DataFrame, extractors: dict[str, Extractor]) -> None:
-    wrong = uncovered(files, extractors).select("path", "n_extractors").limit(5).collect()
-    if wrong:
-        shown = "; ".join(f"{r['path']} matches {r['n_extractors']}" for r in wrong)
+    wrong = uncovered(files, extractors).select("path", "n_extractors").toLocalIterator()
+    shown = "; ".join(f"{r['path']} matches {r['n_extractors']}" for r in wrong)
+    if shown:
         raise ValueError(f"every file needs exactly one extractor: {shown}")
 
 
@@ -112,7 +116,7 @@ def drop_empty(records: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- YAML
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML 1.2 scalars: only true/false are booleans, and times stay text."""
 
 
@@ -145,9 +149,15 @@ def load_yaml(text: str):
     return yaml.load(text, Loader=_Loader)
 
 
+#: stands for an infinite number until the JSON text is written, where a number beyond all doubles means the same
+_INFINITE = "\ue000infinite"
+
+
 def _plain(value):
-    if isinstance(value, float) and (value != value or value in (float("inf"), float("-inf"))):
+    if isinstance(value, float) and value != value:
         return None
+    if value in (float("inf"), float("-inf")):
+        return ("-" if value < 0 else "") + _INFINITE
     if isinstance(value, dict):
         return {str(k): _plain(v) for k, v in value.items()}
     if isinstance(value, list):
@@ -155,6 +165,12 @@ def _plain(value):
     return value
 
 
+def _json_text(text: str) -> str:
+    out = json.dumps(_plain(load_yaml(text)), default=str)
+    mark = json.dumps(_INFINITE)
+    return out.replace(mark, "1e999").replace(mark[0] + "-" + mark[1:], "-1e999")
+
+
 def yaml_records(docs: DataFrame, content: str = "content") -> DataFrame:
     """Records of YAML documents; every task parses its own files."""
     kept = [c for c in docs.columns if c != content]
@@ -162,7 +178,7 @@ def yaml_records(docs: DataFrame, content: str = "content") -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch[content].map(lambda t: json.dumps(_plain(load_yaml(t)), default=str))
+            texts = batch[content].map(_json_text)
             yield batch[kept].assign(record_json=texts)
 
     parsed = docs.mapInPandas(parse, schema)
@@ -171,50 +187,63 @@ def yaml_records(docs: DataFrame, content: str = "content") -> DataFrame:
 
 # ---------------------------------------------------------------- CSV
 
-def csv_records(
-    spark: SparkSession,
-    paths: Sequence[str],
-    spec: CsvFiles = CsvFiles(),
-    check_names: bool = True,
-    multiline: bool = False,
-) -> DataFrame:
+def csv_rows_of(files: DataFrame, delimiter: str) -> DataFrame:
+    """Rows of files whose quoted values span lines; ``files`` has ``__file`` and the whole text, one task reads a file."""
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, text in zip(batch["__file"], batch["value"], strict=True):
+                rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r]
+                yield pd.DataFrame({"__file": name, "__id": range(len(rows)), "__values": [[v or None for v in r] for r in rows]})
+
+    return files.mapInPandas(parse, "__file string, __id long, __values array<string>")
+
+
+def csv_records(spark: SparkSession, paths: Sequence[str], spec: CsvFiles = CsvFiles(), check_names: bool = True) -> DataFrame:
     """Records of CSV files as ``(path, record)`` with text values.
 
-    Files are read line-wise, so one very large file is split over many tasks. Files may have different headers:
-    a first scan takes the header line of each file, and values are matched to their names by position.
+    Files may have different headers: the first row of each file names its values by position, unless ``fieldnames`` do.
+    Values beyond the names of a row are kept as a list under ``_extra``. Files are read line-wise, so one very large file is
+    split over many tasks; only files with a line that leaves a quote open are parsed whole, as their values may hold
+    line breaks. An empty field is missing, and blank lines are no records.
     """
     names = spec.fieldnames
+    headed = (names is None) if spec.has_header is None else spec.has_header
     pick = matches_any(F.col("_metadata.file_name"), spec.patterns) if check_names else F.lit(True)
-    common = {"recursiveFileLookup": "true"}
-    width = len(names) if names is not None else None
-    headers = None
-    if names is None:
-        lines = spark.read.options(**common).text(list(paths)).filter(pick)
-        first = lines.filter(F.col("_metadata.file_block_start") == 0).select(
-            F.col("_metadata.file_path").alias("__file"), "value", F.monotonically_increasing_id().alias("__id"))
-        headers = first.groupBy("__file").agg(F.min_by("value", "__id").alias("__line"))
-        parts = F.size(F.split(F.col("__line"), "\\Q" + spec.delimiter + "\\E"))
-        width = headers.agg(F.max(parts)).first()[0] or 1
-    slots = ", ".join(f"_c{i} string" for i in range(width))
+    file = F.col("_metadata.file_path").alias("__file")
+    lines = spark.read.options(recursiveFileLookup="true").text(list(paths)).filter(pick)
+    sizes = lines.select(file, F.size(F.split("value", "\\Q" + spec.delimiter + "\\E")).alias("n"),
+                         (F.regexp_count("value", F.lit('"')) % 2 == 1).alias("open"))
+    known = cut(sizes.groupBy("__file").agg(F.max("n").alias("__width"), F.bool_or("open").alias("__torn")))
+    width, torn = known.agg(F.max(F.when(~F.col("__torn"), F.col("__width"))), F.bool_or("__torn")).first()
+    slots = [f"_c{i}" for i in range(max(width or 1, 1))]
     reader = spark.read.options(
-        **common, sep=spec.delimiter, header=str(spec.has_header).lower(), quote='"', escape='"',
-        multiLine=str(multiline).lower(), mode="PERMISSIVE", enforceSchema="true",
-    ).schema(slots)
-    rows = reader.csv(list(paths)).filter(pick).select(
-        F.col("_metadata.file_path").alias("__file"), F.array(*[f"_c{i}" for i in range(width)]).alias("__values"))
+        recursiveFileLookup="true", sep=spec.delimiter, header="false", quote='"', escape='"', mode="PERMISSIVE",
+        enforceSchema="true").schema(", ".join(f"{c} string" for c in slots))
+    rows = reader.csv(list(paths)).filter(pick).select(file, F.monotonically_increasing_id().alias("__id"), F.array(*slots).alias("__values"))
+    if torn:
+        odd = F.broadcast(known.filter("__torn")) if small_enough(known) else known.filter("__torn")
+        whole = spark.read.options(recursiveFileLookup="true").text(list(paths), wholetext=True).filter(pick).select(file, "value")
+        rows = rows.join(odd, "__file", "left_anti").unionByName(csv_rows_of(whole.join(odd, "__file", "left_semi"), spec.delimiter))
+    filled = F.array_max(F.transform("__values", lambda v, i: F.when(v.isNotNull(), i + 1)))
+    rows = rows.withColumn("__values", F.slice("__values", 1, F.coalesce(filled, F.lit(1))))
+    if headed or names is None:
+        first = cut(rows.groupBy("__file").agg(F.min("__id").alias("__first"), F.min_by("__values", "__id").alias("__names")))
+        rows = rows.join(broadcast_if_small(first), "__file")
+        if headed:
+            rows = rows.filter("__id <> __first")
+    numbered = lambda i: F.concat(F.lit("_c"), i.cast("string"))
     if names is not None:
-        labelled = rows.withColumn("__names", F.array(*[F.lit(n) for n in names]))
+        label = F.array(*[F.lit(n) for n in names])
+    elif headed:
+        label = F.transform("__names", lambda n, i: F.coalesce(n, numbered(i)))
     else:
-        if spec.has_header:
-            cells = F.from_csv(F.col("__line"), slots, {"sep": spec.delimiter, "escape": '"'})
-            found = F.filter(F.array(*[cells.getField(f"_c{i}") for i in range(width)]), lambda c: c.isNotNull())
-        else:
-            parts = F.size(F.split(F.col("__line"), "\\Q" + spec.delimiter + "\\E"))
-            found = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.concat(F.lit("_c"), i.cast("string")))
-        headers = headers.select("__file", found.alias("__names"))
-        labelled = rows.join(broadcast_if_small(headers), "__file")
-    pairs = F.map_from_arrays(F.col("__names"), F.slice(F.col("__values"), 1, F.size("__names")))
-    record = F.parse_json(F.to_json(pairs, {"ignoreNullFields": "false"}))
+        label = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__names"), F.size("__values")) - 1), numbered)
+    labelled = rows.withColumn("__label", label)
+    pairs = F.transform("__label", lambda n, i: F.struct(n.alias("k"), F.get("__values", i).alias("v")))
+    extra = F.filter(F.slice("__values", F.size("__label") + 1, F.greatest(F.size("__values"), F.lit(1))), lambda v: v.isNotNull())
+    more = F.when(F.size(extra) > 0, F.array(F.struct(F.lit("_extra").alias("k"), F.to_json(extra).alias("v")))).otherwise(
+        F.array().cast("array<struct<k:string,v:string>>"))
+    record = F.parse_json(F.to_json(F.map_from_entries(F.concat(pairs, more)), {"ignoreNullFields": "false"}))
     return labelled.select(plain_path(F.col("__file")).alias("path"), record.alias("record"))
 
 

@@ -91,8 +91,9 @@ def extract(
             keyed = with_file_keys(content)
             docs = keyed.filter(e.fits(F.col("source_file")))
             if isinstance(e, fm.ErrorFiles):
-                for row in fm.error_report(docs).select("path", "message").limit(20).collect():
-                    warnings.warn(f"error file {row['path']}: {row['message'][:500]}", stacklevel=2)
+                # one partition at a time, so that any number of error files can be told
+                for row in fm.error_report(docs).select("path", "message").toLocalIterator():
+                    warnings.warn(f"error file {row['path']}: {row['message']}", stacklevel=2)
                 continue
             if custom and name in custom:
                 part = custom[name](docs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,8 +47,8 @@ def job_path(base: Column, suite: Column, suite_id: Column, exp: Column, run: Co
 
 
 def _numbered(name: Column, prefix: str) -> Column:
-    """The number in ``run_3``; NULL for other names."""
-    return F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 20).try_cast("int"))
+    """The number in ``run_3``; NULL for other names, an error for a number that is too large."""
+    return F.when(name.rlike(f"^{re.escape(prefix)}[+-]?[0-9]+$"), F.substring(name, len(prefix) + 1, 1_000).cast("int"))
 
 
 def _keys(parts: Column, below: int, with_host: bool) -> Column:
@@ -63,7 +64,8 @@ def _keys(parts: Column, below: int, with_host: bool) -> Column:
         _numbered(part(below + 1), REP).alias("rep"),
     ]
     if with_host:
-        number = F.regexp_extract(part(2), r"(\d+)$", 1).try_cast("int")
+        digits = F.regexp_extract(part(2), r"(\d+)$", 1)
+        number = F.when(digits != "", digits.cast("int"))
         keys += [part(3).alias("host_type"), number.alias("host_idx"), part(1).alias("source_file")]
     return F.struct(*keys)
 

@@ -76,7 +76,7 @@ def guarded(work: Callable[[DataFrame, int], None], errors: str) -> Callable[[Da
             work(batch, batch_id)
         except Exception as e:  # any failure of the analysis is data for the error table
             spark = batch.sparkSession
-            row = spark.createDataFrame([(batch_id, type(e).__name__, str(e)[:10_000])],
+            row = spark.createDataFrame([(batch_id, type(e).__name__, str(e))],
                                         "batch_id bigint, kind string, message string")
             row.write.mode("append").parquet(errors)
 
