@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FEATURE_BITS = 18
 #: labelled rows that a classifier is fitted on at most, and characters of text among them
 SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 40_000_000
+#: text bytes that are scored at a time
+SCORE_BYTES = 1 << 20
 #: rows per update, passes, and the constants of the updates
 STEP_ROWS, PASSES, ALPHA, BETA, L1, L2 = 16, 4, 0.5, 1.0, 0.02, 0.2
 
@@ -68,7 +70,11 @@ def train(texts: list[bytes], labels: np.ndarray, bits: int = FEATURE_BITS, seed
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     if not len(labels):
         return z.astype(np.float32)
-    place, value, begin = features(texts, bits)
+    # a few texts at a time, so that only the features themselves are held together
+    parts = [features(texts[i: i + 256], bits) for i in range(0, len(texts), 256)]
+    place = np.concatenate([p.astype(np.int32) for p, _, _ in parts])
+    value = np.concatenate([v for _, v, _ in parts])
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, _, b in parts]))])
     rng = np.random.default_rng(seed)
 
     def weights(at):
@@ -123,7 +129,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(stream):
-        for ids, texts in batches(stream):
+        for ids, texts in batches(stream, SCORE_BYTES):
             place, value, begin = features(texts, bits)
             owner = np.repeat(np.arange(len(texts)), np.diff(begin))
             dot = np.bincount(owner, shipped.value[place] * value, minlength=len(texts))
@@ -142,7 +148,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, least: float, id_col: str =
     def run(stream):
         for batch in stream:
             good = []
-            for _, texts in batches([batch]):
+            for _, texts in batches([batch], SCORE_BYTES):
                 place, value, begin = features(texts, bits)
                 owner = np.repeat(np.arange(len(texts)), np.diff(begin))
                 dot = np.bincount(owner, shipped.value[place] * value, minlength=len(texts))
