@@ -30,14 +30,14 @@ LEVELS, BINS = (1, 2, 4, 8), 1 << 12
 BUCKET_SUFFIXES, LEAST_BUCKETS, GROUP_SHARE = 1_000_000, 64, 4
 
 
-def coded(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, two hashes of every word in a row, and the words before each text."""
-    words = [t.split() for t in texts]
-    begin = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every word of all texts in a row, and the words before each text."""
     known: dict[bytes, int] = {}
-    place = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), dtype=np.int64, count=int(begin[-1]))
+    places = [np.array([known.setdefault(w, len(known)) for w in t.split()], dtype=np.uint32) for t in texts]
+    begin = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
+    place = np.concatenate([np.empty(0, dtype=np.uint32), *places])
     digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), dtype="<u8").reshape(-1, 2)
-    return words, digests[place, 0], digests[place, 1], begin
+    return digests[place, 0], digests[place, 1], begin
 
 
 def window_starts(begin: np.ndarray, window: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def census(docs: DataFrame, window: int, levels: tuple[int, ...]) -> np.ndarray:
     def run(stream):
         total = np.zeros((len(levels), BINS), dtype=np.int64)
         for _, texts in batches(stream):
-            _, a, b, begin = coded(texts)
+            a, b, begin = coded(texts)
             for row, p in zip(total, labels(a, b, window_starts(begin, window), window, levels)[2], strict=True):
                 row += np.bincount((p >> np.uint64(52)).astype(np.int64), minlength=BINS)
         level, place = np.nonzero(total)
@@ -87,7 +87,7 @@ def group_buckets(prefixes: list[np.ndarray], whole: np.ndarray, counts: np.ndar
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, f, schema: str) -> DataFrame:
-    """``f(ids, words, begin, starts, removed)`` per chunk, where ``removed`` marks windows that start in a document with a smaller id."""
+    """``f(ids, texts, begin, starts, removed)`` per chunk, where ``removed`` marks windows that start in a document with a smaller id."""
     chunks, _ = chunked(docs, id_col, text_col)
     levels = tuple(n for n in LEVELS if n < window)
     counts = census(id_and_text(docs, id_col, text_col), window, levels)
@@ -97,7 +97,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, f
 
     def suffixes(ids, texts):
         """Distinct labels in the order of their buckets and first documents, and each window's place among them."""
-        words, a, b, begin = coded(texts)
+        a, b, begin = coded(texts)
         starts = window_starts(begin, window)
         first, second, prefixes = labels(a, b, starts, window, levels)
         doc = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
@@ -113,7 +113,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, f
         of = np.empty(len(starts), dtype=np.int64)
         of[order] = place[np.cumsum(fresh) - 1] if len(order) else 0
         one = one[rank]
-        return words, begin, starts, owner, of, first[one], second[one], owner[one], bucket[one]
+        return begin, starts, owner, of, first[one], second[one], owner[one], bucket[one]
 
     def tell(chunk, ids, texts):
         *_, first, second, doc, bucket = suffixes(ids, texts)
@@ -136,11 +136,11 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, f
         return {k: (np.packbits(x),) for k, x in zip(parts, np.split(later, ends[:-1]), strict=True)}
 
     def last(ids, texts, replies):
-        words, begin, starts, owner, of, first, _, doc, bucket = suffixes(ids, texts)
+        begin, starts, owner, of, first, _, doc, bucket = suffixes(ids, texts)
         later = np.zeros(len(first), dtype=bool)
         for k, at in parts_by_bucket(bucket):
             later[at] = np.unpackbits(replies[k][0], count=at.stop - at.start).astype(bool)
-        return f(ids, words, begin, starts, (owner > doc[of]) | later[of])
+        return f(ids, texts, begin, starts, (owner > doc[of]) | later[of])
 
     return finish(chunks, compare(send(chunks, tell), subtrees), last, schema)
 
@@ -167,10 +167,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no words; rows with one id never remove each other; null ids come after all others; an empty
     table gives no rows; other columns are ignored.
     """
-    def last(ids, words, begin, starts, removed):
+    def last(ids, texts, begin, starts, removed):
         gone = covered(int(begin[-1]), starts[removed], window)
         out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept", "kept_sha256", "spans")}
-        for i, (doc, own) in enumerate(zip(ids, words, strict=True)):
+        for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+            own = text.split()
             mask = gone[begin[i]: begin[i + 1]]
             kept = b" ".join([w for w, x in zip(own, mask, strict=True) if not x] if mask.any() else own)
             first, end = spans(mask)
