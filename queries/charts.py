@@ -126,7 +126,7 @@ BOX = """(SELECT event_type, CAST(round(value * 100) AS DOUBLE) AS v FROM events
     WITH v AS {BOX}
     SELECT event_type, q1, median, q3, least(min(v) FILTER (v >= lo), q1) AS whisker_low,
            greatest(max(v) FILTER (v <= hi), q3) AS whisker_high, count(*) FILTER (v < lo OR v > hi) AS n_outliers,
-           count(*) AS n_values
+           count(*) AS n_values, min(v) AS value_min, max(v) AS value_max
     FROM j GROUP BY event_type, q1, median, q3""")
 def box_stats(spark, folder):
     df = table(spark, folder, "events").selectExpr("event_type", "round(value * 100) as value")
@@ -236,6 +236,36 @@ def nested_layout(spark, folder):
                                  "fig_idx", "col_idx", "group_idx", "bar_idx", "bar_part_bottom", "bar_label")
 
 
+@query(f"""
+    WITH m AS (SELECT 'amount' AS "$metrics$", l_returnflag, l_linestatus, s_nationkey, CAST(q AS DOUBLE) AS value FROM {FLAGS}
+               UNION ALL SELECT 'lines', l_returnflag, l_linestatus, s_nationkey, CAST(n AS DOUBLE) FROM {FLAGS}),
+    b AS (SELECT *, row_number() OVER s * 0.6 + dense_rank() OVER (PARTITION BY "$metrics$", s_nationkey ORDER BY l_returnflag) * 0.1
+                    - 0.7 AS center
+          FROM m WINDOW s AS (PARTITION BY "$metrics$", s_nationkey ORDER BY l_returnflag, l_linestatus)),
+    a AS (SELECT "$metrics$", CAST(s_nationkey AS VARCHAR) AS s_nationkey, round(CAST(max(center) + 0.3 AS DOUBLE), 6) AS x_data_max,
+                 max(value) AS y_data_max, max(value) * 1.25 AS y_max, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus DESC) AS legend
+          FROM b GROUP BY ALL)
+    SELECT "$metrics$", s_nationkey, x_data_max, CAST(0 AS DOUBLE) AS y_min, y_data_max, y_max, CAST(NULL AS DOUBLE) AS x_max,
+           CASE WHEN "$metrics$" = 'amount' THEN y_max / 2 END AS middle_tick, legend FROM a""")
+def chart_axes(spark, folder):
+    """Limits, ticks and legends that follow from the bars of each subplot."""
+    tables = layout.chart_tables(flags(spark, folder), {
+        "metrics": {"amount": {"value_cols": "q"}, "lines": {"value_cols": "n"}},
+        "fig_foreach": {"cols": ["$metrics$"]},
+        "cum_plot_config": [{"subplot_grid": {"rows": [], "cols": ["s_nationkey"]}}],
+        "cum_subplot_config": [
+            {"jp_query": "`$metrics$` == 'amount'", "yaxis": {"ticks": 3}},
+            {"yaxis": {"lim": {"max": {"data_max_scaler": 1.25}}}, "legend_ax": {"label": {"template": "{l_linestatus}"}},
+             "chart": {"group_foreach": {"cols": ["l_returnflag"]}, "bar_foreach": {"cols": ["l_linestatus"]}}}],
+    })
+    place = ["fig_idx", "row_idx", "col_idx"]
+    ordered = F.array_sort(F.collect_list(F.struct("legend_no", "label")))
+    legends = tables["legend"].groupBy(*place).agg(F.array_join(F.transform(ordered, lambda x: x["label"]), ",").alias("legend"))
+    return tables["axes"].join(legends, place).select(
+        "$metrics$", "s_nationkey", F.round("x_data_max", 6).alias("x_data_max"), "y_min", "y_data_max", "y_max", "x_max",
+        F.element_at("y_ticks", 2).alias("middle_tick"), "legend")
+
+
 @query("""
     SELECT p_size AS x, p_type AS series, avg(c) AS mean, round(coalesce(stddev_samp(c), 0), 6) AS std
     FROM (SELECT p_size, p_type, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) GROUP BY ALL""")

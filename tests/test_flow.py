@@ -1,4 +1,5 @@
 import json
+from dataclasses import dataclass
 
 import pytest
 import yaml
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialframe.plans import flow
 from trialframe.sources import formats
+from trialframe.sources.tree import JOB_KEYS
 
 DESIGN = {
     "exp1": {"base_experiment": {"size": {"$FACTOR$": [10, 20]}, "out": "json"}, "n_repetitions": 2},
@@ -128,10 +130,40 @@ def test_registry(spark):
     seen = []
     own.add("loader", "Keep", lambda df, info, tag="x": seen.append((info.flow, tag, df.count())))
     flow.load(df, {"Keep": {"tag": "y"}}, flow.LoadInfo("f", None), own)
-    own.add("extractor", "Mine", formats.Extractor, reader=lambda docs: docs)
+    own.add("extractor", "Mine", formats.Extractor, reader=lambda docs, extractor, configs: docs)
     assert seen == [("f", "y", 1)] and "Mine" in own.readers
 
 
+@dataclass(frozen=True)
+class LineFiles(formats.Extractor):
+    file_regex: str = r".*\.log$"
+    unit: str = "s"
+
+
+def test_own_extractor_gets_its_options_and_the_run_configuration(spark, root):
+    def read(docs, extractor, configs):
+        sizes = configs.selectExpr(*JOB_KEYS, "variant_get(config, '$.size', 'int') as size")
+        return docs.join(sizes, JOB_KEYS).withColumn(
+            "record", F.expr(f"parse_json(concat('{{\"shown\": \"', size, ' {extractor.unit}\"}}'))"))
+
+    own = flow.STANDARD.copy()
+    own.add("extractor", "LineExtractor", LineFiles, reader=read)
+    body = {"experiments": {"demo": ["exp1"]}, "transformers": [], "loaders": {},
+            "extractors": {"LineExtractor": {"unit": "ms"}, "IgnoreExtractor": {"file_regex": "out.json"}}}
+    frames = flow.run(spark, {"$SUITE_ID$": {"demo": 1}, "$ETL$": {"f": body}}, root, return_frames=True, registry=own)
+    assert sorted(r["shown"] for r in frames["f"].collect()) == ["10 ms", "10 ms", "20 ms", "20 ms"]
+
+
+def test_flows_over_the_same_files_share_one_extraction(spark, root, monkeypatch):
+    seen, extract = [], flow.results_frame
+    monkeypatch.setattr(flow, "results_frame", lambda *a: seen.append(1) or extract(*a))
+    body = {"experiments": {"demo": ["exp1"]}, "extractors": {"JsonExtractor": {}, "IgnoreExtractor": {}}, "transformers": [], "loaders": {}}
+    spec = {"$SUITE_ID$": {"demo": 1}, "$ETL$": {"f": body, "g": {**body, "transformers": [{"df.query": {"expr": "lat > 1"}}]},
+                                                 "h": {**body, "experiments": {"demo": ["exp2"]}}}}
+    frames = flow.run(spark, spec, root, return_frames=True)
+    assert len(seen) == 2 and [frames[x].count() for x in "fgh"] == [4, 1, 2]
+
+
 def test_experiment_filters():
     design = {"a1": {}, "b1": {}, "$ETL$": {"p": {"experiments": ["a1", "b1"]}, "q": {"experiments": ["b1"]}, "r": {"experiments": "*"}}}
     kept = flow.keep_experiments(design, "a.*")
@@ -179,6 +211,41 @@ def test_chart_loader(spark, root, tmp_path):
     assert sum("<td>" in line for line in lines) == 2 and lines.count("<table>") == 1
 
 
+def test_chart_hooks_axes_and_legends(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", 1.0, 0.5), ("a", "y", 3.0, None), ("b", "x", 2.0, 0.1), ("b", "y", -1.0, 0.5)],
+                               "g string, b string, v double, e double")
+    own, seen = flow.STANDARD.copy(), []
+
+    def told(name):
+        return lambda frame: seen.append(name) or frame
+
+    names = ["pre_metrics", "pre_filter", "pre_group", "pre_figure", "post_figure", "post_subplots", "pre_bars", "post_bars"]
+    own.add("loader", "Charts", flow.chart_loader(flow.Hooks(**{n: told(n) for n in names}, post=lambda f: f.withColumn("tag", F.lit(1)))))
+    options = {"metrics": {"m": {"value_cols": "v", "error_cols": "e"}},
+               "cum_plot_config": [{"legend_fig": {"kwargs": {}}}],
+               "cum_subplot_config": [{"xaxis": {"ticks": {"ticks": [0, 1]}, "scale": "log"},
+                                       "yaxis": {"lim": {"min": {"data_min_scaler": 2.0}}, "ticks": 2},
+                                       "legend_ax": {"label": {"template": "bar {b}"}},
+                                       "chart": {"group_foreach": {"cols": ["g"]}, "bar_foreach": {"cols": ["b"]}}}]}
+    flow.load(df, {"Charts": options}, flow.LoadInfo("f", str(tmp_path)), own)
+    assert seen == names
+    (axes,) = spark.read.parquet(str(tmp_path / "axes")).collect()
+    assert (axes["y_data_min"], axes["y_data_max"], axes["y_min"], axes["y_max"]) == (-1.5, 3.0, -3.0, None)
+    assert (axes["y_ticks"], axes["x_ticks"], axes["x_scale"], axes["y_scale"], axes["x_min"]) == ([-3.0, 3.0], [0.0, 1.0], "log", None, None)
+    for table, labels in (("legend", ["bar y", "bar x"]), ("figure_legend", ["bar x", "bar y"])):
+        rows = spark.read.parquet(str(tmp_path / table)).orderBy("legend_no").collect()
+        assert [r["label"] for r in rows] == labels and rows[0]["tag"] == 1
+
+
+def test_sorted_output(spark, tmp_path):
+    from trialframe.sinks import writers
+
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("n"))
+    writers.write_csv(df, str(tmp_path / "c"), order_by=["n"])
+    parts = sorted((tmp_path / "c").glob("part-*"))
+    assert [int(x) for p in parts for x in p.read_text().split()[1:]] == list(range(100))
+
+
 def test_frames_are_cut_to_the_shared_folder(spark):
     from trialframe.session import cut, is_costly, settled, shared_folder
 

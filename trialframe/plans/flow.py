@@ -10,6 +10,7 @@ import copy
 import json
 import re
 import warnings
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from inspect import signature
@@ -23,7 +24,7 @@ from trialframe.operators import aggregate as agg
 from trialframe.operators import transforms as tf
 from trialframe.operators import verbs
 from trialframe.plans.design import factor_columns
-from trialframe.plans.layout import chart_tables
+from trialframe.plans.layout import Hooks, chart_tables
 from trialframe.session import cut
 from trialframe.sinks import writers
 from trialframe.sources import formats as fm
@@ -47,7 +48,10 @@ class Registry:
     readers: dict[str, Callable] = field(default_factory=dict)
 
     def add(self, kind: str, name: str, step: Callable, reader: Callable | None = None) -> None:
-        """``kind`` is extractor, transformer or loader; an extractor of one's own brings its reader."""
+        """``kind`` is extractor, transformer or loader; an extractor of one's own brings its reader.
+
+        A reader is called with the documents, the extractor with its options, and the run configurations.
+        """
         known = getattr(self, kind + "s")
         if name in known:
             raise ValueError(f"duplicate {kind}: {name}")
@@ -85,25 +89,29 @@ class LoadInfo:
     folder: str | None
 
 
-def load_csv(df, info, skip_empty=False):
-    writers.write_csv(df, f"{info.folder}/{info.flow}.csv", skip_empty)
+def load_csv(df, info, skip_empty=False, order_by=None):
+    writers.write_csv(df, f"{info.folder}/{info.flow}.csv", skip_empty, as_list(order_by))
 
 
-def load_table(df, info, skip_empty=False):
-    writers.write_table(agg.hashable(df), f"{info.folder}/{info.flow}.parquet", skip_empty)
+def load_table(df, info, skip_empty=False, order_by=None):
+    writers.write_table(agg.hashable(df), f"{info.folder}/{info.flow}.parquet", skip_empty, order_by=as_list(order_by))
 
 
 def load_latex(df, info, skip_empty=False, order_by=None):
     writers.write_latex(df, f"{info.folder}/{info.flow}.tex", order_by or frame_order(df) or df.columns, skip_empty)
 
 
-def load_charts(df, info, metrics, cum_subplot_config, cum_plot_config=(), fig_foreach=None, data_filter=None):
-    if df.isEmpty():
-        return
-    tables = chart_tables(df, {"metrics": metrics, "cum_subplot_config": cum_subplot_config,
-                               "cum_plot_config": cum_plot_config, "fig_foreach": fig_foreach,
-                               "data_filter": data_filter})
-    writers.write_chart_tables(tables, info.folder)
+def chart_loader(hooks: Hooks = Hooks()) -> Callable:
+    """The chart loader with callbacks of one's own; register it under a name that flows use."""
+    def load_charts(df, info, metrics, cum_subplot_config, cum_plot_config=(), fig_foreach=None, data_filter=None):
+        if df.isEmpty():
+            return
+        tables = chart_tables(df, {"metrics": metrics, "cum_subplot_config": cum_subplot_config,
+                                   "cum_plot_config": cum_plot_config, "fig_foreach": fig_foreach,
+                                   "data_filter": data_filter}, hooks)
+        writers.write_chart_tables(tables, info.folder)
+
+    return load_charts
 
 
 STANDARD = Registry(
@@ -117,7 +125,7 @@ STANDARD = Registry(
     },
     loaders={
         "CsvSummaryLoader": load_csv, "PickleSummaryLoader": load_table, "LatexTableLoader": load_latex,
-        "ColumnCrossPlotLoader": load_charts,
+        "ColumnCrossPlotLoader": chart_loader(),
     },
 )
 
@@ -380,6 +388,11 @@ def results_frame(spark: SparkSession, root: str, body: Mapping, ids: Mapping, d
     return tf.union_by_name(frames) if frames else None
 
 
+def _extraction(body: Mapping) -> str:
+    """What a flow reads: its experiments and extractors."""
+    return json.dumps([body["experiments"], body["extractors"]], sort_keys=True, default=str)
+
+
 def _design_of(designs: Mapping[tuple, Mapping], suite: str, ids: Mapping) -> Mapping:
     given = ids[suite]
     chosen = given.get(DEFAULT, next(iter(given.values()))) if isinstance(given, Mapping) else given
@@ -416,9 +429,15 @@ def run(
     """
     spec = prepare(spec, sources, registry, only, suite_ids)
     designs = load_designs(spark, root, spec[SUITE_IDS])
-    frames = {}
+    frames, extracted = {}, {}
+    wanted = Counter(_extraction(body) for body in spec[FLOWS].values())
     for name, body in spec[FLOWS].items():
-        df = results_frame(spark, root, body, spec[SUITE_IDS], designs, registry)
+        key = _extraction(body)
+        if key not in extracted:
+            df = results_frame(spark, root, body, spec[SUITE_IDS], designs, registry)
+            # flows over the same files share one pass over them
+            extracted[key] = cut(df) if df is not None and wanted[key] > 1 else df
+        df = extracted[key]
         if df is None:
             warnings.warn(f"flow {name} skipped: no results yet", stacklevel=2)
             continue

@@ -259,12 +259,13 @@ def box_statistics(df: DataFrame, keys: Sequence[str], value: str = "value") ->
     whiskers = joined.groupBy(*[col(k) for k in keys]).agg(
         F.min(F.when(F.col("__v") >= F.col("__low"), F.col("__v"))).alias("__lo"),
         F.max(F.when(F.col("__v") <= F.col("__high"), F.col("__v"))).alias("__hi"),
-        F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n_values"))
+        F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n_values"),
+        F.min("__v").alias("value_min"), F.max("__v").alias("value_max"))
     both = join_keys(stats, whiskers, keys)
     return both.select(
         *[col(k) for k in keys], "q1", "median", "q3",
         F.least("__lo", "q1").alias("whisker_low"), F.greatest("__hi", "q3").alias("whisker_high"),
-        "n_outliers", "n_values")
+        "n_outliers", "n_values", "value_min", "value_max")
 
 
 def _fences(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -395,13 +396,28 @@ def _all_columns(options: Mapping) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+SUBPLOT = ("fig_idx", "row_idx", "col_idx")
+
+
 @dataclass(frozen=True)
 class Hooks:
-    """Callbacks on the frames between the phases: before metrics, before the filter, before grouping, at the end."""
+    """Callbacks between the phases; each gets a frame and returns the one to go on with.
+
+    All rows pass ``pre_metrics``, ``pre_filter`` and ``pre_group``. The rows of each subplot grid pass ``pre_figure`` before and
+    ``post_figure`` after they are placed, its settings ``post_subplots``. Each chart's rows pass ``pre_bars`` or ``pre_boxes``, its
+    table ``post_bars`` or ``post_boxes``. ``post`` gets every table at the end.
+    """
 
     pre_metrics: object = None
     pre_filter: object = None
     pre_group: object = None
+    pre_figure: object = None
+    post_figure: object = None
+    post_subplots: object = None
+    pre_bars: object = None
+    post_bars: object = None
+    pre_boxes: object = None
+    post_boxes: object = None
     post: object = None
 
 
@@ -413,7 +429,8 @@ def chart_tables(df: DataFrame, options: Mapping, hooks: Hooks = Hooks()) -> dic
     """All tables behind the charts of one chart specification.
 
     Returns ``data`` (filtered rows with figure and subplot ordinals), ``subplots`` and, where charts of that kind
-    exist, ``bars`` and ``boxes``.
+    exist, ``bars`` and ``boxes`` with their ``axes`` (intervals, limits and ticks per subplot). Configured legends give
+    ``legend`` (per subplot, last label first) and ``figure_legend``.
     """
     metrics = {k: v if isinstance(v, Metric) else Metric(**v) for k, v in options["metrics"].items()}
     allowed = (options.get("data_filter") or {}).get("allowed") or {}
@@ -423,14 +440,16 @@ def chart_tables(df: DataFrame, options: Mapping, hooks: Hooks = Hooks()) -> dic
     df = _hooked(hooks.pre_metrics, df)
     wide = _hooked(hooks.pre_filter, fan_out(df, metrics))
     columns = [c for c in _all_columns(options)]
-    # several tables are built from these rows, so they are computed once
-    wide = cut(_hooked(hooks.pre_group, allowed_filter(wide, columns, allowed)))
+    wide = _hooked(hooks.pre_group, allowed_filter(wide, columns, allowed))
     figure = _foreach(options.get("fig_foreach"), "fig")
 
-    tables: dict[str, list[DataFrame]] = {"data": [], "subplots": [], "bars": [], "boxes": []}
+    tables: dict[str, list[DataFrame]] = {"data": [], "subplots": [], "bars": [], "boxes": [], "axes": []}
+    labels = []
     grid_of = matching_rule(plot_rules, ["subplot_grid"]) if plot_rules else F.lit(None).cast("int")
     grids = [i for i, r in enumerate(plot_rules) if r.settings.get("subplot_grid")]
     has_other = not any(plot_rules[i].where is None for i in grids)
+    if len(grids) + has_other > 1:
+        wide = cut(wide)
     for i in [*grids, *([None] if has_other else [])]:
         grid = plot_rules[i].settings["subplot_grid"] if i is not None else {}
         mine = wide.filter(grid_of == i if i is not None else grid_of.isNull()) if grids else wide
@@ -438,30 +457,78 @@ def chart_tables(df: DataFrame, options: Mapping, hooks: Hooks = Hooks()) -> dic
         if len(metrics) > 1 and METRIC not in [*figure.cols, *rows, *cols]:
             raise ValueError(f"several metrics need {METRIC} in the figure or subplot columns")
         levels = [figure, Level("row", rows, grid.get("jp_except")), Level("col", cols)]
-        placed = with_ordinals(mine, levels, allowed)
+        placed = with_ordinals(_hooked(hooks.pre_figure, mine), levels, allowed)
         unit = F.coalesce(*[F.when(col(METRIC) == k, F.lit(m.unit_label)) for k, m in metrics.items()],
                           F.lit(None).cast("string"))
         placed = placed.withColumn(UNIT, unit)
-        if rows or cols:
-            require_grid(placed)
         ids = list(dict.fromkeys([*figure.cols, *rows, *cols, METRIC, UNIT]))
         placed = placed.withColumn("file_name", file_name(figure.cols) if figure.cols else F.lit("out"))
+        # the grid check, the settings and every chart read these rows
+        placed = cut(_hooked(hooks.post_figure, placed))
+        if rows or cols:
+            require_grid(placed)
         tables["data"].append(placed)
         frame = placed.select("file_name", "fig_idx", "row_idx", "col_idx", *[col(c) for c in ids]).distinct()
-        tables["subplots"].append(_subplot_settings(frame, subplot_rules, ids))
+        tables["subplots"].append(_hooked(hooks.post_subplots, _subplot_settings(frame, subplot_rules, ids)))
         chart_of = matching_rule(subplot_rules, ["chart"])
         for j, rule in enumerate(subplot_rules):
             chart = rule.settings.get("chart")
             if chart is None:
                 continue
             part = placed.filter(chart_of == j)
-            kind = "boxes" if "box_foreach" in chart else "bars"
-            build = _boxes if kind == "boxes" else _bars
-            tables[kind].append(build(part, chart, metrics, allowed, ids, subplot_rules))
-    out = {}
-    for name, parts in tables.items():
-        if parts:
-            out[name] = _hooked(hooks.post, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+            if "box_foreach" in chart:
+                kind, number = "boxes", "box_idx"
+                shown = _hooked(hooks.post_boxes, _boxes(_hooked(hooks.pre_boxes, part), chart, metrics, allowed, ids, subplot_rules))
+            else:
+                kind, number = "bars", "bar_idx"
+                shown = _hooked(hooks.post_bars, _bars(_hooked(hooks.pre_bars, part), chart, metrics, allowed, ids, subplot_rules))
+            # the chart, its axes and its legends read this table
+            shown = cut(shown)
+            tables[kind].append(shown)
+            tables["axes"].append(_axes(shown, kind, chart, subplot_rules, ids))
+            labels.append(shown.select("file_name", *SUBPLOT, "group_idx", col(number).alias("bar_idx"), "part_idx", "value_no",
+                                       col("artist_label").alias("label")))
+    found = {name: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) for name, parts in tables.items() if parts}
+    if labels:
+        drawn, order = reduce(DataFrame.unionByName, labels), ["group_idx", "bar_idx", "part_idx", "value_no"]
+        if any(r.settings.get("legend_ax") for r in subplot_rules):
+            found["legend"] = legend(drawn, ["file_name", *SUBPLOT], "label", order, reverse=True)
+        if any(r.settings.get("legend_fig") for r in plot_rules):
+            found["figure_legend"] = legend(drawn, ["file_name", "fig_idx"], "label", ["row_idx", "col_idx", *order])
+    return {name: _hooked(hooks.post, df) for name, df in found.items()}
+
+
+def _first_set(rules: Sequence[Rule], path: Sequence[str], value) -> Column:
+    """``value`` of the setting at ``path`` in the first matching rule that has one."""
+    out = F.lit(None)
+    for r in reversed(rules):
+        setting = reduce(lambda found, name: (found or {}).get(name), path, r.settings)
+        if setting is not None:
+            out = F.when(F.lit(True) if r.where is None else predicate(r.where), value(setting)).otherwise(out)
+    return out
+
+
+def _axes(df: DataFrame, kind: str, chart: Mapping, rules: Sequence[Rule], ids: Sequence[str]) -> DataFrame:
+    """Per subplot and axis the interval that the chart covers, the configured limits and the ticks."""
+    if kind == "boxes":
+        left, width, low, high = F.col("box_left_pos"), chart.get("box_width", 0.6), F.col("value_min"), F.col("value_max")
+    else:
+        left, width = F.col("bar_left_pos"), chart.get("bar_width", 0.6)
+        end, spread = F.col("bar_part_bottom") + F.col("value"), F.coalesce("error", F.lit(0.0))
+        low, high = F.least("bar_part_bottom", end - spread), F.greatest("bar_part_bottom", end + spread)
+    out = df.groupBy("file_name", *SUBPLOT, *[col(c) for c in ids]).agg(
+        F.min(left).alias("x_data_min"), F.max(left + F.lit(width)).alias("x_data_max"),
+        F.min(low).alias("y_data_min"), F.max(high).alias("y_data_max"))
+    for axis in ("x", "y"):
+        first, last, place = F.col(f"{axis}_data_min"), F.col(f"{axis}_data_max"), f"{axis}axis"
+        out = out.withColumns({
+            f"{axis}_min": _first_set(rules, [place, "lim"], lambda x: _limit(x.get("min", 0.0), first, last)).cast("double"),
+            f"{axis}_max": _first_set(rules, [place, "lim"], lambda x: _limit(x.get("max"), first, last)).cast("double"),
+            f"{axis}_scale": _first_set(rules, [place, "scale"], F.lit).cast("string"),
+        })
+        ends = F.coalesce(f"{axis}_min", first), F.coalesce(f"{axis}_max", last)
+        out = out.withColumn(f"{axis}_ticks", _first_set(rules, [place, "ticks"], lambda t: (
+            ticks(*ends, t) if isinstance(t, int) else F.array(*[F.lit(float(x)) for x in t["ticks"]]))).cast("array<double>"))
     return out
 
 

@@ -28,17 +28,23 @@ def write_nothing(df: DataFrame, skip_empty: bool, what: str) -> bool:
     raise ValueError(f"{what}: the frame is empty, so no output is written")
 
 
-def write_csv(df: DataFrame, path: str, skip_empty: bool = False) -> None:
+def _sorted(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows in the order of these columns over all part files, missing values last."""
+    return df.orderBy(*[col(c).asc_nulls_last() for c in order_by]) if order_by else df
+
+
+def write_csv(df: DataFrame, path: str, skip_empty: bool = False, order_by: Sequence[str] = ()) -> None:
     if write_nothing(df, skip_empty, "CSV summary"):
         return
-    hashable(df).write.mode("overwrite").option("header", True).csv(path)
+    _sorted(hashable(df), order_by).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, skip_empty: bool = False, partition_by: Sequence[str] = ()) -> None:
+def write_table(df: DataFrame, path: str, skip_empty: bool = False, partition_by: Sequence[str] = (),
+                order_by: Sequence[str] = ()) -> None:
     """Parquet; columns whose names Parquet readers dislike keep their names."""
     if write_nothing(df, skip_empty, "table dump"):
         return
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _sorted(df, order_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 # ---------------------------------------------------------------- LaTeX and HTML

@@ -72,8 +72,9 @@ def extract(
 ) -> DataFrame | None:
     """The results table of some experiments of one suite run, or None when there are no records.
 
-    ``custom`` maps extractor names to functions ``documents -> records`` for formats of one's own. Known types of
-    records and configurations (as ``a bigint, b struct<...>``) save the passes that find them.
+    ``custom`` maps extractor names to functions ``(documents, extractor, configurations) -> records`` for formats of one's
+    own; the extractor holds the options of the flow, the configurations are those of ``run_configs``. Known types of records and
+    configurations (as ``a bigint, b struct<...>``) save the passes that find them.
     """
     paths = suite_paths(root, suite, suite_id, experiments)
     files = scan(spark, paths)
@@ -81,6 +82,7 @@ def extract(
     whole = {n: e for n, e in extractors.items() if not isinstance(e, (fm.IgnoredFiles, fm.CsvFiles))}
     # many small files are opened once: their texts go to one table, which all later passes read
     content = cut(texts(files, [r"config\.json$", *[p for e in whole.values() for p in e.patterns]]))
+    configs = run_configs(content)
     parts = []
     for name, e in extractors.items():
         if isinstance(e, fm.IgnoredFiles):
@@ -96,7 +98,7 @@ def extract(
                     warnings.warn(f"error file {row['path']}: {row['message']}", stacklevel=2)
                 continue
             if custom and name in custom:
-                part = custom[name](docs)
+                part = custom[name](docs, e, configs)
             elif isinstance(e, fm.YamlFiles):
                 part = fm.yaml_records(docs)
             elif isinstance(e, fm.JsonFiles):
@@ -112,6 +114,5 @@ def extract(
         x for e, names in known.items() for x in (F.lit(e), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
     records = records.withColumn("factor_columns", F.try_element_at(by_experiment, F.col("exp_name")))
     records = records.select(*FILE_KEYS[:-1], "factor_columns", "source_file", "record")
-    configs = run_configs(content)
     return records_with_configs(records, configs, record_type and T.StructType.fromDDL(record_type),
                                 config_type and T.StructType.fromDDL(config_type))
