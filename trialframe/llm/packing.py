@@ -23,8 +23,8 @@ from trialframe.llm.common import batches, id_and_text, worker_state
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, class int"
-#: lines whose ids a worker remembers
-MEMO_LINES = 1 << 17
+#: bytes of lines and their ids that a worker remembers
+MEMO_BYTES = 24 << 20
 # the split of text before merging, as byte-level BPE files that use their own expression define it
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,10 +64,12 @@ def load_encoder(path: str):
     ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in special}
     table = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     memo: dict[str, bytes] = {}
+    held = 0
     # the pre-tokenizer always cuts between a visible character and a single line break before another one
     lines = re.compile(r"(?<=\S)(?=\n\S)")
 
     def encode(texts: list[str]) -> list[np.ndarray]:
+        nonlocal held
         out = []
         for text in texts:
             parts = []
@@ -75,9 +77,12 @@ def load_encoder(path: str):
                 ids = memo.get(line)
                 if ids is None:
                     ids = np.array(table.encode_ordinary(line), dtype="<u4").tobytes()
-                    if len(memo) >= MEMO_LINES:
-                        memo.clear()
                     if len(line) <= 4096:
+                        # two objects and their place in the dictionary take about 200 bytes
+                        held += len(line) + len(ids) + 200
+                        if held > MEMO_BYTES:
+                            memo.clear()
+                            held = len(line) + len(ids) + 200
                         memo[line] = ids
                 parts.append(ids)
             out.append(np.frombuffer(b"".join(parts), dtype="<u4"))
