@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -30,6 +32,15 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_trialframe_worker", types.ModuleType("_trialframe_worker")).__dict__
 
 
+def give_back() -> None:
+    """Return free memory to the system: Spark reuses Python workers, which keep what an earlier task needed at its height."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; extra columns and clashing names stay outside."""
     return docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from trialframe.llm.common import batches, id_and_text, worker_state
+from trialframe.llm.common import batches, give_back, id_and_text, worker_state
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -128,8 +128,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def fill(stream):
         state = worker_state()
+        give_back()
         if ("encoder", tokenizer) not in state:
             state["encoder", tokenizer] = load_encoder(tokenizer)
+            give_back()
         encode = state["encoder", tokenizer]
         end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40

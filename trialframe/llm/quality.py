@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import col
-from trialframe.llm.common import batches, id_and_text, mixed
+from trialframe.llm.common import batches, give_back, id_and_text, mixed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         fits = pdf["text"].str.len().cumsum() <= sample_chars
         pdf = pdf[fits | (np.arange(len(pdf)) == 0)]
         w = train([t.encode() for t in pdf["text"]], pdf["label"].to_numpy(dtype=np.float64))
+        give_back()
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()]})
 
     found = texts.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "weights binary").first()
@@ -134,6 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             owner = np.repeat(np.arange(len(texts)), np.diff(begin))
             dot = np.bincount(owner, shipped.value[place] * value, minlength=len(texts))
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(1 / (1 + np.exp(-dot)))], names=["doc_id", "score"])
+        give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -155,6 +157,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, least: float, id_col: str =
                 good.append(1 / (1 + np.exp(-dot)) >= least)
             if good:
                 yield batch.select(["__row"]).filter(pa.array(np.concatenate(good)))
+        give_back()
 
     return rows.mapInArrow(run, rows.select("__row").schema).select("__row.*")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.columns import col
-from trialframe.llm.common import batches, id_and_text, linked_components
+from trialframe.llm.common import batches, give_back, id_and_text, linked_components
 from trialframe.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for ids, texts in batches(stream):
             found = np.array([fingerprint(t, words, seed) for t in texts], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(found)], names=["doc_id", "fp"])
+        give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
@@ -175,6 +176,7 @@ def near_links(nodes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
         order = np.lexsort((fp, side, key))
         a, b = join_tries(fp[order], key[order], side[order], err[order].astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8"))], names=["a", "b"])
+        give_back()
 
     return rows.select("key", "fp", "side", "err").repartition(tasks, "key").mapInArrow(run, "a long, b long")
 
