@@ -71,10 +71,13 @@ def train(texts: list[bytes], labels: np.ndarray, bits: int = FEATURE_BITS, seed
     if not len(labels):
         return z.astype(np.float32)
     # a few texts at a time, so that only the features themselves are held together
-    parts = [features(texts[i: i + 256], bits) for i in range(0, len(texts), 256)]
-    place = np.concatenate([p.astype(np.int32) for p, _, _ in parts])
-    value = np.concatenate([v for _, v, _ in parts])
-    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, _, b in parts]))])
+    parts = []
+    for i in range(0, len(texts), 256):
+        place, value, begin = features(texts[i: i + 256], bits)
+        parts.append((place.astype(np.int32), value, np.diff(begin)))
+    place, value, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    begin = np.concatenate([[0], np.cumsum(size)])
     rng = np.random.default_rng(seed)
 
     def weights(at):
