@@ -33,6 +33,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> dict[str, Query]:
-    from queries import aggregates, charts, designs, frames, jobs, reshaping, rows, trees  # noqa: F401
+    from queries import aggregates, charts, designs, frames, jobs, outputs, reshaping, rows, trees  # noqa: F401
 
     return REGISTERED
