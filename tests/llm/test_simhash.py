@@ -90,6 +90,39 @@ def test_links_connect_what_brute_force_connects(spark, bound):
     assert [prints.index(root(p)) for p in prints] == components(prints)
 
 
+def twins():
+    """Two dense balls: only pairs that differ in three high bits and one of the next band link them."""
+    base = random.Random(4).getrandbits(64)
+    ball = [base ^ p << 47 for p in range(64) if p.bit_count() % 2 == 0]
+    return sorted(ball + [x ^ 0b111 << 61 ^ 1 << 47 for x in ball])
+
+
+def test_cross_units_pay_their_high_bits_once():
+    fp = np.array(twins(), dtype=np.uint64)
+    side = np.repeat([1, 2], len(fp) // 2)
+    assert components([int(x) for x in fp]) == [0] * len(fp)
+    unit, err, depth = (np.full(len(fp), k) for k in (0, 3, 61))
+    a, b = S.join_tries(fp, unit, side, err, depth)
+    pairs = {(int(x), int(y)) for x in fp[side == 1] for y in fp[side == 2] if int(x ^ y).bit_count() <= 4}
+    parent = {int(p): int(p) for p in fp}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        parent[max(root(int(x)), root(int(y)))] = min(root(int(x)), root(int(y)))
+    assert all(root(x) == root(y) for x, y in pairs)
+
+
+def test_split_tries_link_over_their_high_bits(spark):
+    prints = twins()
+    links = S.near_links(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long"), node_rows=12).collect()
+    ones = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in links]
+    assert any((a ^ b) >> 61 for a, b in ones)
+
+
 def test_join_of_one_dense_ball():
     rng = np.random.default_rng(1)
     fp = np.unique(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 2)).astype(np.uint64), axis=1))

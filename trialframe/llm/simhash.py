@@ -80,7 +80,7 @@ def split_large(rows: DataFrame, bound: int) -> DataFrame:
     Side 0 joins with itself, side 1 with side 2 of the same key.
     """
     for _ in range(BITS):
-        sizes = cut(rows.groupBy("key").count().where(F.col("count") > bound))
+        sizes = cut(rows.where("depth > 0").groupBy("key").count().where(F.col("count") > bound))
         if sizes.limit(1).count() == 0:
             break
         large = rows.join(sizes, "key").drop("count")
@@ -93,7 +93,7 @@ def split_large(rows: DataFrame, bound: int) -> DataFrame:
             F.when(F.col("side") == 1, F.concat(F.lit("/"), text, F.lit(v))).otherwise(F.concat(F.lit(f"/{v}"), text)),
             F.col("side"), F.when(text == v, 0).otherwise(1))
         parts = (large.withColumn("part", F.explode(F.when(F.col("side") == 0, own).otherwise(F.array(pair("0"), pair("1")))))
-                 .select("part.key", "fp", "part.side", "part.err", depth.alias("depth")).where(f"err <= {BUDGET} and depth > 0"))
+                 .select("part.key", "fp", "part.side", "part.err", depth.alias("depth")).where(f"err <= {BUDGET} and (depth > 0 or side > 0)"))
         rows = cut(rows.join(sizes, "key", "left_anti").unionByName(parts))
     return rows
 
@@ -113,10 +113,11 @@ def merge_links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[apart], b[apart]
 
 
-def join_tries(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, err: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def join_tries(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, err: np.ndarray, depth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a spanning forest) between the distinct fingerprints of this task, walked unit by unit.
 
-    The arrays are sorted by unit, side and fingerprint.
+    The arrays are sorted by unit, side and fingerprint. ``depth`` is the number of low bits that a unit still has to walk, all
+    without it; ``err`` counts the differences in the bits above.
     """
     distinct, member = np.unique(fp, return_inverse=True)
     label = np.arange(len(distinct))
@@ -129,7 +130,9 @@ def join_tries(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, err: np.ndarr
     cross = np.flatnonzero((side[first][:-1] == 1) & (side[first][1:] == 2) & (unit[first][:-1] == unit[first][1:])) if len(first) > 1 else np.array([], dtype=np.int64)
     front = [np.concatenate([x[alone], x[cross + k]]) for x, k in ((first, 0), (last, 0), (first, 1), (last, 1))]
     front[2][: alone.sum()], front[3][: alone.sum()] = first[alone], last[alone]
-    waiting = [(BITS - 1, *front, np.concatenate([err[first][alone], err[first][cross]]))]
+    cost = np.concatenate([err[first][alone], err[first][cross]])
+    left = np.full(len(cost), BITS) if depth is None else np.concatenate([depth[first][alone], depth[first][cross]])
+    waiting = [(int(d) - 1, *(x[left == d] for x in (*front, cost))) for d in np.unique(left)]
     ones = {}
     while waiting:
         bit, alo, ahi, blo, bhi, cost = waiting.pop()
@@ -172,13 +175,13 @@ def near_links(nodes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
         table = pa.Table.from_batches(parts)
         key = table["key"].combine_chunks().dictionary_encode().indices.to_numpy()
         fp = table["fp"].to_numpy().astype("<i8").view("<u8")
-        side, err = table["side"].to_numpy(), table["err"].to_numpy()
+        side, err, depth = (table[c].to_numpy().astype(np.int64) for c in ("side", "err", "depth"))
         order = np.lexsort((fp, side, key))
-        a, b = join_tries(fp[order], key[order], side[order], err[order].astype(np.int64))
+        a, b = join_tries(fp[order], key[order], side[order], err[order], depth[order])
         yield pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8"))], names=["a", "b"])
         give_back()
 
-    return rows.select("key", "fp", "side", "err").repartition(tasks, "key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "fp", "side", "err", "depth").repartition(tasks, "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
