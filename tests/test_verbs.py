@@ -275,6 +275,14 @@ def test_ewm_keeps_its_mean_over_long_gaps(spark, adjust):
     assert got.notna().all() and abs(got.to_numpy() - want.to_numpy())[rows].max() < 1e-9
 
 
+def test_ewm_keeps_a_mean_from_both_sides_of_a_block_border(spark):
+    # blocks have 288 rows
+    df = spark.range(1300).selectExpr("id", "case when id = 287 then 0.0D when id in (288, 1200) then 10.0D when id = 290 then 4.0D end as v")
+    got = verbs.ewm(df, "id", alpha=0.5).apply("mean", ["v"], "_m").toPandas().sort_values("id")["v_m"]
+    want = df.toPandas()["v"].ewm(alpha=0.5).mean()
+    assert got[287:].notna().all() and abs(got[287:].to_numpy() - want[287:].to_numpy()).max() < 1e-9
+
+
 @pytest.mark.parametrize("func", ["median", "first", "last", "max"])
 def test_pivot_table_functions(spark, func):
     df = times(spark).selectExpr("id", "id % 4 as k", "g", "v")

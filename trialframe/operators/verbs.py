@@ -687,24 +687,25 @@ class Ewm:
         group = [*keys, "__block"]
         scans = {f"__s{t}{i}": Scan("sum", f"__{t}{i}") for i in range(len(names)) for t in "xw"}
         here = running(blocks, group, self.order_by, scans)
-        # the last block before with values: its own sums stand for all earlier ones, which weigh nothing next to them
+        # the last block before with values: next to values of the block itself, earlier ones weigh nothing
         totals = cut(blocks.groupBy(*[col(k) for k in keys], "__block").agg(
             *[F.sum(f"__{t}{i}").alias(f"__t{t}{i}") for i in range(len(names)) for t in "xw"]))
         totals = totals.withColumns({f"__tb{i}": F.when(F.col(f"__tw{i}").isNotNull(), F.col("__block")) for i in range(len(names))})
         marks = {f"__b{t}{i}": Scan("last", f"__t{t}{i}", exclusive=True) for i in range(len(names)) for t in "xwb"}
-        before = running(totals, keys, "__block", marks).select(*[col(k) for k in keys], "__block", *marks)
-        both = join_keys(here, before, group, "left")
 
-        def value(i: int) -> Column:
+        def mean(own: str, i: int) -> Column:
             fade = F.pow(F.lit(decay), F.lit(float(size)) * (F.col("__block") - F.col(f"__bb{i}")))
-            own_x, own_w = F.col(f"__sx{i}"), F.col(f"__sw{i}")
             old_x, old_w = F.coalesce(F.col(f"__bx{i}") * fade, F.lit(0.0)), F.coalesce(F.col(f"__bw{i}") * fade, F.lit(0.0))
-            # without values of its own yet a block stays at the mean that it began with
-            return F.when(own_w.isNull(), F.try_divide(F.col(f"__bx{i}"), F.col(f"__bw{i}"))).otherwise(
-                F.try_divide(own_x + old_x, own_w + old_w))
+            # null without values of the block's own
+            return F.try_divide(F.col(f"__{own}x{i}") + old_x, F.col(f"__{own}w{i}") + old_w)
 
-        values = {c + suffix: value(i) for i, c in enumerate(names)}
-        helper = [f"__{t}{i}" for t in ("x", "w", "sx", "sw", "bx", "bw", "bb") for i in range(len(names))]
+        # without values of its own yet a block stays at the mean that held at the end of the last block with values
+        ends = running(totals, keys, "__block", marks).withColumns({f"__h{i}": mean("t", i) for i in range(len(names))})
+        held = {f"__bh{i}": Scan("last", f"__h{i}", exclusive=True) for i in range(len(names))}
+        before = running(ends, keys, "__block", held).select(*[col(k) for k in keys], "__block", *marks, *held)
+        both = join_keys(here, before, group, "left")
+        values = {c + suffix: F.coalesce(mean("s", i), F.col(f"__bh{i}")) for i, c in enumerate(names)}
+        helper = [f"__{t}{i}" for t in ("x", "w", "sx", "sw", "bx", "bw", "bb", "bh") for i in range(len(names))]
         return both.withColumns(values).drop(PLACE, "__block", "__in", *helper)
 
 
