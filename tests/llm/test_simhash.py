@@ -60,6 +60,13 @@ def test_rows_with_one_id_and_several_texts(spark):
         [rows[0], rows[1], rows[3], rows[4]], "doc_id long, text string, fp string").collect()))
 
 
+def test_a_single_null_id_keeps_its_own_text(spark):
+    texts = [" ".join(random.Random(i).choices("abcdefgh", k=40)) for i in range(3)]
+    rows = [(1, texts[0]), (2, texts[0]), (None, texts[1]), (3, texts[2])]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def crowd(seed, n):
     """Fingerprints with dense balls, chains and strangers."""
     rng = random.Random(seed)

@@ -210,7 +210,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     stay = cut(stay.join(times, F.col("__id").eqNullSafe(F.col("doc_id"))).drop("doc_id"))
     carried = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("__row"))
     own = F.col("__row")[id_col].cast("long")
-    once = carried.join(stay.where("__times = 1"), own == F.col("__id"), "left_semi")
+    once = carried.join(stay.where("__times = 1"), own.eqNullSafe(F.col("__id")), "left_semi")
     many = stay.where("__times > 1")
     if many.limit(1).count():
         # rows that share their id are told apart by their own fingerprint
