@@ -79,7 +79,8 @@ def test_own_extractor(spark, tree):
     tree.put("my_suite_$expected/own/run_0/rep_0/config.json", "{}")
     tree.put("my_suite_$expected/own/run_0/rep_0/small/host_0/n.kv", "a=1\nb=2")
 
-    def read(docs):
+    def read(docs, extractor, configs):
+        assert extractor.patterns == [r".*\.kv$"] and "exp_name" in configs.columns
         pairs = F.str_to_map("content", F.lit("\n"), F.lit("="))
         return docs.withColumn("record", F.parse_json(F.to_json(pairs))).drop("content")
 
