@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import chat, exact_dedup, language_model, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk
+from trialframe.llm import (
+    chat,
+    exact_dedup,
+    language_model,
+    mixing,
+    packing,
+    prefix_trie,
+    quality,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    topk,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +140,45 @@ FROM escaped GROUP BY conv_id
 @query
 def op2_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.log_probabilities(table(spark, folder, "documents"), remainder(7) == 2)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = prefix_trie.sequences(prefix_trie.turn_symbols(table(spark, folder, "conversations")))
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(own))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+           lambda a, x: list_reduce([xor(a, x)] || range(8), lambda b, i: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END))),
+         4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+d AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d, md5(length(role) || ':' || role || text) AS symbol,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+p AS (
+  SELECT conv_id, d, md5(string_agg(symbol, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key, words FROM d
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, key),
+up AS (SELECT DISTINCT a.d, a.key, b.key AS parent FROM p AS a JOIN p AS b ON a.conv_id = b.conv_id AND a.d = b.d + 1),
+kids AS (SELECT d - 1 AS d, parent AS key, count(*) AS n_children FROM up GROUP BY ALL),
+s AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, key)),
+below AS (
+  SELECT a.d, a.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * s.words) AS saved
+  FROM s JOIN p AS a ON a.conv_id = s.conv_id AND a.d <= s.d GROUP BY ALL),
+ends AS (
+  SELECT d, key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha
+  FROM (SELECT conv_id, max(d) AS d, max_by(key, d) AS key FROM p GROUP BY conv_id) GROUP BY ALL)
+SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, m.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM s JOIN below USING (d, key) LEFT JOIN up USING (d, key) LEFT JOIN n AS m ON m.d = s.d - 1 AND m.key = up.parent
+     LEFT JOIN ends ON ends.d = s.d AND ends.key = s.key
+"""
