@@ -15,6 +15,7 @@ from trialframe.llm import (
     packing,
     prefix_trie,
     quality,
+    reversed_search,
     simhash,
     substring_dedup,
     suffix_dedup,
@@ -182,3 +183,29 @@ SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, m.conv_id AS parent_conv_id, s.n
 FROM s JOIN below USING (d, key) LEFT JOIN up USING (d, key) LEFT JOIN n AS m ON m.d = s.d - 1 AND m.key = up.parent
      LEFT JOIN ends ON ends.d = s.d AND ends.key = s.key
 """
+
+
+@query
+def op12_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    return reversed_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op12_reversed_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+tf AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+c AS (SELECT row, doc_id, n, term, count(*) AS tf FROM tf WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, s),
+g AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * c.n * s.n) // s.l))) AS gain
+  FROM c JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM g JOIN q USING (term) GROUP BY item_id, row, doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
