@@ -12,6 +12,7 @@ from trialframe.llm import (
     exact_dedup,
     language_model,
     mixing,
+    nearest,
     packing,
     prefix_trie,
     quality,
@@ -209,3 +210,8 @@ r AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM g JOIN q U
 o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
 """
+
+
+@query
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
