@@ -247,3 +247,18 @@ def long_text_order(spark, folder):
     docs = table(spark, folder, "documents").select(
         "doc_id", F.concat(F.lit("https://host.example/a/long/common/beginning/"), F.coalesce("text", F.lit(""))).alias("url"))
     return positions(docs, [], ["url", "doc_id"], "place").select("doc_id", "place")
+
+
+@query(f"""
+    SELECT event_id, CASE WHEN count(v) OVER w >= 2 THEN CAST(sum(v) OVER w AS BIGINT) END AS v_sum,
+           CAST(max(v) OVER w AS BIGINT) AS v_max, count(v) OVER w AS v_count,
+           CAST(min(v) OVER b AS BIGINT) AS v_min
+    FROM {EVENTS}
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '129599999999 microseconds' PRECEDING AND CURRENT ROW),
+           b AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '36 hours' PRECEDING AND INTERVAL '1 microsecond' PRECEDING)""")
+def rolling_time(spark, folder):
+    df = events(spark, folder)
+    for func, least in (("sum", 2), ("max", None), ("count", None)):
+        df = verbs.rolling(by_user(df), "36h", on="ts", min_periods=least).apply(func, ["v"], f"_{func}")
+    df = verbs.rolling(by_user(df), "36h", on="ts", closed="left").apply("min", ["v"], "_min")
+    return df.select("event_id", "v_sum", "v_max", "v_count", "v_min")

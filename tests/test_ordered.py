@@ -191,3 +191,38 @@ def test_running_sum_any_data(spark, data):
         after = v if total is None else total if v is None else total + v
         assert got[i] == (after, total, v if v is not None else last)
         seen[g] = (after, v if v is not None else last)
+
+
+@pytest.fixture(scope="module")
+def timed(spark):
+    rng = np.random.default_rng(5)
+    seconds = np.sort(rng.integers(0, 900, 400))
+    frame = pd.DataFrame({"id": range(400), "g": rng.choice(["a", "a", "a", "b"], 400), "s": seconds,
+                          "v": np.where(rng.random(400) < 0.1, np.nan, rng.integers(0, 50, 400))})
+    return frame
+
+
+@pytest.mark.parametrize("func, closed", [("sum", "right"), ("var", "right"), ("max", "left"), ("mean", "both"), ("min", "both"),
+                                          ("count", "neither")])
+def test_rolling_by_time(spark, chunked, timed, func, closed):
+    # cells of 300 seconds hold more rows than a chunk, some times have many rows
+    df = spark.createDataFrame(timed).selectExpr("id", "g", "timestamp_seconds(s) as ts", "nullif(v, double('nan')) as v")
+    got = verbs.rolling(verbs.groupby(df, "g"), "300s", on="ts", closed=closed).apply(func, ["v"], "_w")
+    got = {r["id"]: r["v_w"] for r in got.collect()}
+    assert len(got) == len(timed)
+    for r in timed.itertuples():
+        age = r.s - timed.s
+        inside = (age >= 0 if closed in ("right", "both") else age > 0) & (age <= 300 if closed in ("left", "both") else age < 300)
+        seen = timed.v[inside & (timed.g == r.g)].dropna()
+        want = len(seen) if func == "count" else None if len(seen) == 0 else getattr(seen, func)() if func != "var" or len(seen) > 1 else None
+        assert got[r.id] == (want if want is None else pytest.approx(want)), (r.id, closed)
+
+
+def test_rolling_by_time_edges(spark, chunked):
+    df = spark.sql("select id, if(id < 3, null, timestamp_seconds(0)) as ts, 1.0D as v from range(120)")
+    got = {r["id"]: r["v_n"] for r in verbs.rolling(df, "1min", on="ts").apply("sum", ["v"], "_n").collect()}
+    assert got == {i: None if i < 3 else 117.0 for i in range(120)}
+    assert verbs.rolling(df.limit(0), "1min", on="ts").apply("sum", ["v"], "_n").collect() == []
+    for wrong in ({"window": "1min"}, {"window": "1min", "on": "ts", "closed": "up"}):
+        with pytest.raises(ValueError):
+            verbs.rolling(df, **wrong)

@@ -312,3 +312,26 @@ def test_predicates_keep_quoted_text(spark):
     df = spark.createDataFrame([("a==b", 1), ("a&&b", 2), ('say "x"', 3)], "`the name` string, k int")
     for text, k in ((""" "the name" == 'a==b' """, 1), (""" `the name` == 'a&&b' && k == `2` """, 2), (""" "the name" == 'say "x"' || k == 9 """, 3)):
         assert [r.k for r in df.filter(predicate(text)).collect()] == [k]
+
+
+def test_sample_draws_equal_rows_one_by_one(spark, chunked):
+    df = spark.sql("select if(id < 50, 0, id) as x from range(100)")
+    drawn = [verbs.sample(df, n=50, random_state=seed).filter("x = 0").count() for seed in range(6)]
+    # fair draws have a mean of 25 and a deviation of 2.5
+    assert all(13 <= n <= 37 for n in drawn) and 20 <= sum(drawn) / 6 <= 30
+    assert verbs.sample(df, frac=1.0).count() == 100
+    assert verbs.sample(df, n=0).count() == 0
+
+
+def test_sample_by_weight(spark, chunked):
+    df = spark.sql("select id, case when id < 100 then 9.0D when id < 200 then 1.0D when id < 210 then 0.0D end as w from range(220)")
+    once = [r["id"] for r in verbs.sample(df, n=60, weights="w").collect()]
+    assert len(set(once)) == 60 and max(once) < 200
+    assert sum(i < 100 for i in once) > 40
+    assert verbs.sample(df, n=220, weights="w").count() == 200
+    many = [r["id"] for r in verbs.sample(df, n=2000, weights="w", replace=True, random_state=3).collect()]
+    # 90 % of 2,000 draws, deviation 13.4
+    assert len(many) == 2000 and max(many) < 200 and 1740 <= sum(i < 100 for i in many) <= 1860
+    assert verbs.sample(df.limit(0), n=5, replace=True).count() == 0
+    with pytest.raises(ValueError):
+        verbs.sample(df.withColumn("w", F.lit(-1.0)), n=1, weights="w")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,16 +22,18 @@ from trialframe.operators import transforms as tf
 from trialframe.operators.ordered import (
     PLACE,
     Scan,
+    chunk_rows,
     column_quantiles,
     count_rows,
     edge_rows,
     framed,
+    in_bounds,
     order_keys,
     positions,
     ranks,
     running,
 )
-from trialframe.session import cut
+from trialframe.session import cut, settled
 
 
 def _numeric(df: DataFrame, columns=None) -> list[str]:
@@ -351,14 +353,50 @@ def nsmallest(df: DataFrame, n: int, columns, order_by=()) -> DataFrame:
     return tf.first_rows(df.filter(col(names[0]).isNotNull()), n, [*[(c, True) for c in names], *as_list(order_by)])
 
 
-def sample(df: DataFrame, n: int | None = None, frac: float | None = None, random_state: int = 0) -> DataFrame:
-    """An exact number of rows, chosen by a hash of the row and the seed, so reruns choose the same rows."""
+def sample(df: DataFrame, n: int | None = None, frac: float | None = None, random_state: int = 0, replace: bool = False,
+           weights: str | None = None) -> DataFrame:
+    """An exact number of rows; reruns with the same seed choose the same rows, and equal rows are drawn one by one.
+
+    ``weights`` names a column: a row is drawn in proportion to it, never where it is missing or zero. Without replacement
+    the rows with the smallest exponential keys are taken; with it ``n`` independent draws fall on the running total of the
+    weights, which is split over tasks like any running value.
+    """
     if (n is None) == (frac is None):
         raise ValueError("give either n or frac")
     if frac is not None:
         n = round(frac * df.count())
-    draw = F.xxhash64(F.lit(random_state), F.to_json(F.struct(*[col(c) for c in df.columns])))
-    return tf.first_rows(df.withColumn("__draw", draw), n, "__draw").drop("__draw")
+    if weights is not None:
+        worst = df.agg(F.min(col(weights))).first()[0]
+        if worst is not None and worst < 0:
+            raise ValueError("weights must not be negative")
+    weight = F.lit(1.0) if weights is None else col(weights).cast("double")
+    drawable = df.withColumns({"__weight": weight, "__same": F.xxhash64(F.to_json(F.struct(*[col(c) for c in df.columns])))})
+    numbered = positions(drawable.filter(F.col("__weight") > 0), ["__same"], "__same", "__copy")
+    if replace:
+        return _draws(numbered, df.columns, n, random_state)
+    chance = _uniform(F.lit(random_state), F.col("__same"), F.col("__copy"))
+    keyed = numbered.withColumn("__draw", -F.log(chance) / F.col("__weight"))
+    return tf.first_rows(keyed, n, ["__draw", "__same", "__copy"]).select(*[col(c) for c in df.columns])
+
+
+def _uniform(*parts: Column) -> Column:
+    """A number above 0 and below 1 from 52 bits of a hash."""
+    bits = F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(2 ** 52))
+
+
+def _draws(numbered: DataFrame, names: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``n`` independent draws with replacement: each takes the first row whose running weight lies beyond it."""
+    placed = cut(running(numbered, [], ["__same", "__copy"], {"__upto": Scan("sum", "__weight")}))
+    total = placed.agg(F.max("__upto")).first()[0]
+    if total is None:
+        return placed.select(*[col(c) for c in names])
+    hits = numbered.sparkSession.range(n).select(
+        (_uniform(F.lit(seed), F.col("id")) * F.lit(total)).alias("__upto"), F.lit(1).alias("__kind"))
+    owners = placed.select("__upto", F.lit(0).alias("__kind"), F.struct(*[col(c) for c in names]).alias("__row"))
+    found = running(owners.unionByName(hits, allowMissingColumns=True), [], ["__upto", "__kind"], {"__hit": Scan("last", "__row")},
+                    reverse=True)
+    return found.filter(F.col("__kind") == 1).select("__hit.*")
 
 
 def truncate(df: DataFrame, on: str, before=None, after=None) -> DataFrame:
@@ -709,7 +747,99 @@ class Ewm:
         return both.withColumns(values).drop(PLACE, "__block", "__in", *helper)
 
 
-def rolling(obj, window: int, order_by, min_periods: int | None = None, center: bool = False) -> Rolling:
+@dataclass(frozen=True)
+class TimeRolling:
+    """A moving window as long as ``window`` (such as ``1h``) that ends at each row's own time; rows of one time share it.
+
+    ``closed`` names the ends that belong to the window. Rows without a time get no result. Where every group fits a task,
+    this is a range frame. In larger groups time is cut into cells as long as the window, so that each window is the end of
+    one cell and the beginning of the next: both are running values, which are split inside a cell of any size, and
+    nothing is subtracted, so least and greatest values come out as well.
+    """
+
+    source: DataFrame | Grouped
+    window: str
+    on: str
+    min_periods: int | None = None
+    closed: str = "right"
+
+    def apply(self, func: str, columns=None, suffix: str = "") -> DataFrame:
+        if func not in ("sum", "mean", "min", "max", "count", "std", "var"):
+            raise ValueError(f"rolling by time has no {func!r}")
+        width = rule_micros(self.window)
+        if width is None:
+            raise ValueError(f"rolling takes windows of fixed length, not {self.window!r}")
+        df, keys, names = _series(self.source, self.on, columns)
+        need = (0 if func == "count" else 1) if self.min_periods is None else self.min_periods
+        at = F.unix_micros(col(self.on).cast("timestamp"))
+        rows = count_rows(df, [self.on])
+        if rows > chunk_rows(df):
+            df = settled(df)
+        if not in_bounds(df, keys, rows):
+            return self._by_cells(df.withColumn("__at", at), keys, names, func, need, width, suffix)
+        oldest = width if self.closed in ("both", "left") else width - 1
+        newest = 0 if self.closed in ("both", "right") else 1
+        frame = Window.partitionBy(*[col(k) for k in keys]).orderBy(at).rangeBetween(-oldest, -newest)
+        return df.withColumns({
+            c + suffix: F.when(at.isNotNull() & (F.count(col(c)).over(frame) >= need), FRAME_FUNCTIONS[func](col(c)).over(frame))
+            for c in names
+        })
+
+    def _by_cells(self, timed: DataFrame, keys, names, func: str, need: int, width: int, suffix: str) -> DataFrame:
+        spread, centre = func in ("std", "var"), {}
+        if spread:
+            # sums of squares around a fixed centre per column keep their precision
+            centre = timed.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]).first().asDict()
+        parts, scans = {}, {}
+        for i, c in enumerate(names):
+            parts[f"__n{i}"] = F.count(col(c))
+            if spread:
+                away = col(c) - F.lit(centre[f"m{i}"])
+                parts |= {f"__s{i}": F.sum(away), f"__t{i}": F.sum(away * away)}
+            elif func != "count":
+                parts[f"__s{i}"] = {"min": F.min, "max": F.max}.get(func, F.sum)(col(c))
+        for part in parts:
+            scans[part] = func if part.startswith("__s") and func in ("min", "max") else "sum"
+        states = timed.filter(F.col("__at").isNotNull()).groupBy(*[col(k) for k in keys], "__at").agg(
+            *[v.alias(part) for part, v in parts.items()])
+        span = F.lit(width).cast("bigint")
+        states = cut(states.withColumn("__cell", F.col("__at") - F.pmod(F.col("__at"), span)))
+        cell = [*keys, "__cell"]
+        own_time = self.closed in ("both", "right")
+        heads = running(states, cell, "__at", {f"{p}h": Scan(kind, p, exclusive=not own_time) for p, kind in scans.items()})
+        # each time asks the cell before for its end; the question comes before or after a row of the very border
+        asked = states.select(*[col(k) for k in keys], (F.col("__at") - span).alias("__at"), (F.col("__cell") - span).alias("__cell"),
+                              F.lit(-1 if self.closed in ("both", "left") else 1).alias("__kind"), F.col("__at").alias("__home"))
+        points = asked.unionByName(states.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+        ends = running(points, cell, ["__at", "__kind"], {f"{p}e": Scan(kind, p) for p, kind in scans.items()}, reverse=True)
+        ends = ends.filter(F.col("__home").isNotNull()).select(
+            *[col(k) for k in keys], F.col("__home").alias("__at"), *[f"{p}e" for p in scans])
+        both = join_keys(heads, ends, [*keys, "__at"])
+        merged = {p: Scan(kind).merge(F.col(f"{p}e"), F.col(f"{p}h")) for p, kind in scans.items()}
+        results = {}
+        for i in range(len(names)):
+            n = F.coalesce(merged[f"__n{i}"], F.lit(0))
+            s = merged.get(f"__s{i}")
+            if spread:
+                value = F.try_divide(F.greatest(merged[f"__t{i}"] - F.try_divide(s * s, n), F.lit(0.0)), F.nullif(n - 1, F.lit(0)))
+                value = F.sqrt(value) if func == "std" else value
+            else:
+                value = n if func == "count" else F.try_divide(s, n) if func == "mean" else s
+            results[f"__r{i}"] = F.when(n >= need, value)
+        both = both.select(*[col(k) for k in keys], "__at", *[v.alias(r) for r, v in results.items()])
+        done = join_keys(timed, both, [*keys, "__at"], "left")
+        return done.withColumns({c + suffix: F.col(f"__r{i}") for i, c in enumerate(names)}).drop("__at", *results)
+
+
+def rolling(obj, window: int | str, order_by=None, min_periods: int | None = None, center: bool = False, on: str | None = None,
+            closed: str = "right") -> Rolling | TimeRolling:
+    """A window of rows, or with a length of time one over the times in column ``on``."""
+    if isinstance(window, str):
+        if on is None or center:
+            raise ValueError("a window of time needs the column of times (on) and ends at each row")
+        if closed not in ("right", "left", "both", "neither"):
+            raise ValueError(f"unknown ends {closed!r}")
+        return TimeRolling(obj, window, on, min_periods, closed)
     return Rolling(obj, window, order_by, min_periods, center)
 
 
@@ -856,7 +986,7 @@ def _reduction(name: str):
     def verb(obj, columns=None, order_by=None) -> DataFrame:
         if isinstance(obj, Grouped):
             return obj.agg(name, columns, order_by)
-        if isinstance(obj, (Rolling, Expanding, Ewm)):
+        if isinstance(obj, (Rolling, TimeRolling, Expanding, Ewm)):
             return obj.apply(name, columns)
         if isinstance(obj, Resampler):
             return obj.apply(name, columns)
@@ -870,7 +1000,7 @@ def _agg_verb(obj, func, columns=None, order_by=None):
         return obj.agg(func, columns, order_by)
     if isinstance(obj, Resampler):
         return obj.apply(func, columns)
-    if isinstance(obj, (Rolling, Expanding, Ewm)):
+    if isinstance(obj, (Rolling, TimeRolling, Expanding, Ewm)):
         return obj.apply(func, columns)
     return aggregate_verb(obj, func, order_by)
 
