@@ -207,3 +207,36 @@ def life_cycle_stream(spark, folder):
     events = incremental.file_stream(spark, folder, schema, "events.parquet")
     return incremental.run_available(incremental.latest_states(events, ["user_id"], ["ts", "event_id"], "event_type")
                                      .withColumnRenamed("event_type", "state"))
+
+
+@query("""
+    WITH RECURSIVE e AS (
+      SELECT user_id, epoch_us(ts) AS us, event_type AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+      FROM events WHERE ts IS NOT NULL),
+    r AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS us, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS before,
+             false AS ok, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS BIGINT) AS since,
+             CAST(NULL AS BIGINT) AS gone_at, CAST(NULL AS VARCHAR) AS gone
+      FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT user_id, n, us, s, eff, ok, CASE WHEN ok THEN s ELSE eff END, CASE WHEN ok THEN us ELSE since END, gone_at, gone
+      FROM (SELECT *, coalesce((eff IS NULL AND s = 'signup') OR (eff = 'signup' AND s IN ('view', 'click')) OR (eff = 'view' AND s = 'click')
+                   OR (eff = 'click' AND s IN ('view', 'purchase')), false) AS ok
+            FROM (SELECT e.user_id, e.n, e.us, e.s, r.since, CASE WHEN e.us > r.since + 172800000000 THEN NULL ELSE r.cur END AS eff,
+                         CASE WHEN r.cur IS NOT NULL AND e.us > r.since + 172800000000 THEN r.since + 172800000000 END AS gone_at,
+                         CASE WHEN e.us > r.since + 172800000000 THEN r.cur END AS gone
+                  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))),
+    steps AS (
+      SELECT user_id, us, before, s AS state, CASE WHEN ok THEN 'moved' ELSE 'refused' END AS kind FROM r WHERE n > 0
+      UNION ALL SELECT user_id, gone_at, gone, NULL, 'expired' FROM r WHERE gone_at IS NOT NULL
+      UNION ALL
+      SELECT user_id, since + 172800000000, cur, NULL, 'expired' FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1)
+      WHERE cur IS NOT NULL AND (since + 172800000000) // 1000 < (SELECT max(us) // 1000 FROM e))
+    SELECT user_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS "at", before, state, kind FROM steps""")
+def life_cycle_machine_stream(spark, folder):
+    schema = table(spark, folder, "events").schema
+    events = incremental.file_stream(spark, folder, schema, "events.parquet")
+    moves = {None: ["signup"], "signup": ["view", "click"], "view": ["click"], "click": ["view", "purchase"]}
+    steps = incremental.life_cycles(events, ["user_id"], "ts", moves, "2 days", order=["event_id"], state="event_type")
+    out = incremental.run_available(steps, "append")
+    return out.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "before", "state", "kind")

@@ -59,3 +59,36 @@ def test_failed_batch_is_recorded(spark, tmp_path):
 def test_unknown_function(spark, tmp_path):
     with pytest.raises(KeyError):
         incremental.aggregate_stream(spark.range(1), ["id"], ["id"], ["nope"])
+
+
+MOVES = {None: ["pending"], "pending": ["queued"], "queued": ["finished"]}
+
+
+def steps_of(spark, src, out, state):
+    events = incremental.file_stream(spark, src, spark.read.parquet(src).schema)
+    steps = incremental.life_cycles(events, ["job"], "ts", MOVES, "1 hour", order=["n"])
+    done = incremental.run_available(steps, "append", out, state)
+    return {(r["job"], r["at"].hour * 60 + r["at"].minute, r["before"], r["state"], r["kind"]) for r in done.collect()}
+
+
+def test_life_cycles_refuse_expire_and_begin_anew(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("e", "out", "state"))
+
+    def add(*rows):
+        spark.createDataFrame(rows, "job string, minute int, n int, state string").selectExpr(
+            "job", "timestamp_seconds(86400 + minute * 60) as ts", "n", "state").write.mode("append").parquet(src)
+
+    add(("a", 1, 1, "queued"), ("a", 0, 1, "pending"), ("b", 0, 2, "pending"), ("b", 0, 1, "queued"), ("c", 5, 1, "pending"),
+        ("c", 200, 1, "pending"), ("d", 199, 1, None), ("d", None, 1, "pending"), (None, 190, 1, "pending"))
+    first = {("a", 0, None, "pending", "moved"), ("a", 1, "pending", "queued", "moved"), ("b", 0, None, "queued", "refused"),
+             ("b", 0, None, "pending", "moved"), ("c", 5, None, "pending", "moved"), ("c", 65, "pending", None, "expired"),
+             ("c", 200, None, "pending", "moved"), ("d", 199, None, None, "refused"), (None, 190, None, "pending", "moved"),
+             # the watermark stands at 200, so the timers of the silent jobs have gone off
+             ("a", 61, "queued", None, "expired"), ("b", 60, "pending", None, "expired")}
+    assert steps_of(spark, src, out, state) == first
+    # their state is gone: what goes on from it is refused, what is still alive goes on
+    add(("a", 210, 1, "finished"), ("c", 215, 1, "queued"), ("c", 215, 2, "pending"))
+    second = first | {("a", 210, None, "finished", "refused"), ("c", 215, "pending", "queued", "moved"),
+                      ("c", 215, "queued", "pending", "refused")}
+    assert steps_of(spark, src, out, state) == second
+    assert steps_of(spark, src, out, state) == second

@@ -6,8 +6,9 @@ and outputs live in the shared folder of the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,60 @@ def latest_states(events: DataFrame, keys: Sequence[str], order: Sequence[str],
     return events.groupBy(*[col(k) for k in keys]).agg(newest.alias(state))
 
 
+def life_cycles(events: DataFrame, keys: Sequence[str], time: str, moves: Mapping[str | None, Sequence[str]], silence: str,
+                lateness: str = "0 seconds", order: Sequence[str] = (), state: str = "state") -> DataFrame:
+    """Every step of each job's life as ``(keys, at, before, state, kind)`` (output mode append).
+
+    ``moves`` names the states that may follow a state; those after None begin a life. A change that is allowed is ``moved``;
+    any other, one without a state and one older than the last move of an earlier batch are ``refused`` and change nothing. A job
+    without a move for longer than ``silence`` (such as ``5 days``) is ``expired`` at that time and may begin anew. Between its
+    events a timer on the watermark tells so, and the job's state is dropped; so state is bounded by the jobs that are alive.
+    Events without a time or not above the watermark are left out. Events of one batch are taken by time, then by the columns of ``order``; the events of one
+    job in one batch are held by one task.
+    """
+    allowed = {before: frozenset(after) for before, after in moves.items()}
+    patience = pd.Timedelta(silence) // pd.Timedelta(microseconds=1)
+    fields = [events.schema[k] for k in keys]
+    schema = T.StructType([
+        *fields, T.StructField("__at", T.LongType()), T.StructField("before", T.StringType()),
+        T.StructField("state", T.StringType()), T.StructField("kind", T.StringType())])
+    ties = [f"__o{i}" for i in range(len(order))]
+
+    def live(key, frames, held):
+        steps = []
+        now, since = held.get if held.exists else (None, None)
+        if held.hasTimedOut:
+            steps.append((since + patience, now, None, "expired"))
+            held.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values(["__us", *ties])
+            for at, new in zip(rows["__us"].tolist(), rows["__state"].tolist(), strict=True):
+                if now is not None and at > since + patience:
+                    steps.append((since + patience, now, None, "expired"))
+                    now = None
+                if new in allowed.get(now, ()) and (now is None or at >= since):
+                    steps.append((at, now, new, "moved"))
+                    now, since = new, at
+                else:
+                    steps.append((at, now, new, "refused"))
+            if now is not None and (since + patience) // 1000 <= held.getCurrentWatermarkMs():
+                steps.append((since + patience, now, None, "expired"))
+                now = None
+            if now is not None:
+                held.update((now, since))
+                held.setTimeoutTimestamp((since + patience) // 1000)
+            elif held.exists:
+                held.remove()
+        yield pd.DataFrame([(*key, *step) for step in steps], columns=schema.names).astype({"__at": "int64"})
+
+    known = events.filter(col(time).isNotNull()).select(
+        *[col(k) for k in keys], col(time).cast("timestamp").alias("__time"), *[col(o).alias(t) for o, t in zip(order, ties, strict=True)],
+        col(state).alias("__state")).withWatermark("__time", lateness).withColumn("__us", F.unix_micros("__time"))
+    steps = known.groupBy(*[col(k) for k in keys]).applyInPandasWithState(
+        live, schema, "state string, since bigint", "append", "EventTimeTimeout")
+    return steps.select(*[col(k) for k in keys], F.timestamp_micros("__at").alias("at"), "before", "state", "kind")
+
+
 def guarded(work: Callable[[DataFrame, int], None], errors: str) -> Callable[[DataFrame, int], None]:
     """A batch that fails does not stop the stream; its error is recorded in a table."""
     def run(batch: DataFrame, batch_id: int) -> None:
