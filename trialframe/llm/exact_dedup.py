@@ -3,7 +3,7 @@
 History is reduced to its distinct digests, dealt into buckets. Each bucket becomes one row of an index: a cascade of bit
 arrays that gives every digest of the bucket a slot of its own without a gap, and per slot the full digest, the winner's id
 and the number of copies. New digests are looked up in their bucket; only if all 32 bytes in the slot agree is the text a
-repeat. Digests that the index does not know are grouped among themselves.
+repeat, and its slot then tells winner and copies. Digests that the index does not know are grouped among themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKET_DIGESTS, LEAST_BUCKETS = 4000, 64
 #: bits of a level per digest that still has no slot
 GAMMA = 2.0
+#: rows of a group from which it may count as hot, and the most groups that do
+HOT_ROWS, HOT_GROUPS = 1000, 50_000
 INDEX = "bucket long, sizes array<long>, bits binary, digests binary, winners binary, copies binary"
 
 
@@ -93,25 +95,36 @@ def bucket_of(buckets: int) -> Column:
 
 
 def look_up(groups: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """``digest, winner, copies, known``: repeats carry the index's winner, all others their own."""
+    """``digest, winner, copies, known``: every slot of the index, with what the new groups add to it, and all nonmembers.
+
+    A repeat gives its copies and its id to the slot that holds its digest; the slot tells the winner and the number of copies
+    of its text. Nonmembers stay as they came, with ``known`` false.
+    """
+    none = np.iinfo("<i8").max
+
     def look(new: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = new[["digest", "winner", "copies"]].assign(known=False)
-        if len(rows) and len(new):
-            row, digests = rows.iloc[0], as_bytes(new["digest"])
-            sizes = [int(x) for x in row["sizes"]]
-            bits = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), count=sum(sizes))
-            slots = find_slots(digests, sizes, bits)
+        known = np.zeros(len(new), dtype=bool)
+        parts = []
+        if len(rows):
+            row = rows.iloc[0]
             held = np.frombuffer(row["digests"], dtype=np.uint8).reshape(-1, 32)
-            known = slots >= 0
-            known[known] = (held[slots[known]] == digests[known]).all(axis=1)
-            winners = np.frombuffer(row["winners"], dtype="<i8")[slots[known]]
-            own = new["winner"].to_numpy(dtype="<i8", na_value=np.iinfo("<i8").max)[known]
-            best = pd.array(np.minimum(winners, own), dtype="Int64")
-            best[best == np.iinfo("<i8").max] = pd.NA
-            out["winner"] = out["winner"].astype("Int64")
-            out.loc[known, "winner"] = best
-            out["known"] = known
-        return out
+            winners = np.frombuffer(row["winners"], dtype="<i8").copy()
+            copies = np.frombuffer(row["copies"], dtype="<i8").copy()
+            if len(new):
+                digests, sizes = as_bytes(new["digest"]), [int(x) for x in row["sizes"]]
+                slots = find_slots(digests, sizes, np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), count=sum(sizes)))
+                known = slots >= 0
+                known[known] = (held[slots[known]] == digests[known]).all(axis=1)
+                own = new["winner"].to_numpy(dtype="<i8", na_value=none)[known]
+                np.minimum.at(winners, slots[known], own)
+                np.add.at(copies, slots[known], new["copies"].to_numpy(dtype="<i8")[known])
+            best = pd.array(winners, dtype="Int64")
+            best[best == none] = pd.NA
+            parts.append(pd.DataFrame({"digest": [x.tobytes() for x in held], "winner": best, "copies": copies, "known": True}))
+        if not known.all():
+            others = new.loc[~known, ["digest", "winner", "copies"]]
+            parts.append(others.assign(winner=others["winner"].astype("Int64"), known=False))
+        return pd.concat(parts)
 
     left = groups.withColumn("bucket", bucket_of(buckets)).groupBy("bucket")
     return left.cogroup(index.groupBy("bucket")).applyInPandas(look, "digest binary, winner long, copies long, known boolean")
@@ -132,13 +145,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
     rows = cut(own.select("doc_id", digest.alias("digest")).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
                .withColumn("old", F.coalesce(historical, F.lit(False))))
+    distinct, total = rows.agg(F.approx_count_distinct("digest"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    buckets = max(LEAST_BUCKETS, distinct // BUCKET_DIGESTS)
     groups = rows.groupBy("digest", "old").agg(F.min("doc_id").alias("winner"), F.sum("copies").alias("copies"))
-    history, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
-    buckets = max(LEAST_BUCKETS, rows.where("old").agg(F.approx_count_distinct("digest")).first()[0] // BUCKET_DIGESTS)
-    looked = look_up(new, build_index(history, buckets), buckets)
-    whole = (looked.union(history.withColumn("known", F.lit(True))).groupBy("digest")
-             .agg(F.min("winner").alias("keep_id"), F.sum("copies").alias("group_size"), F.bool_or("known").alias("known")))
-    return rows.drop("old").join(whole, "digest").select("doc_id", "digest", "copies", "keep_id", "group_size", "known")
+    index = build_index(groups.where("old").drop("old"), buckets)
+    whole = cut(look_up(groups.where("not old").drop("old"), index, buckets)
+                .select("digest", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"), "known"))
+    # fewer than HOT_GROUPS groups can hold more rows than this each; they are broadcast, so that no key carries many rows
+    many = max(HOT_ROWS, total // HOT_GROUPS)
+    hot, rest = F.broadcast(whole.where(F.col("group_size") > many)), whole.where(F.col("group_size") <= many)
+    rows = rows.drop("old")
+    both = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(rest, "digest"))
+    return both.select("doc_id", "digest", "copies", "keep_id", "group_size", "known")
 
 
 def kept_marks(groups: DataFrame) -> DataFrame:
@@ -148,13 +166,16 @@ def kept_marks(groups: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows with one id and one text any one stays."""
+    """The rows that stay, with all their columns; of rows with one id and one text any one stays.
+
+    Null texts count as empty, whole texts of any length are digested; of a text that only rows with null ids hold one row stays.
+    An empty table stays empty. Rows travel as one struct, so columns of any name pass.
+    """
     stay = (exact_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-            .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies")))
-    marked = docs.withColumns({
-        "__own": col(id_col).cast("long"),
-        "__text": F.unhex(F.sha2(normalised(F.coalesce(col(text_col), F.lit(""))).cast("binary"), 256)),
-    })
-    both = marked.join(stay, marked["__own"].eqNullSafe(stay["__id"]) & (marked["__text"] == stay["__digest"]))
-    once = both.where("__copies = 1").unionByName(both.where("__copies > 1").dropDuplicates(["__own", "__text"]))
-    return once.select(*[col(c) for c in docs.columns])
+            .select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest"), "copies"))
+    marked = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).cast("long").alias("own_id"),
+        F.unhex(F.sha2(normalised(F.coalesce(col(text_col), F.lit(""))).cast("binary"), 256)).alias("own_digest"))
+    both = marked.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_digest") == F.col("stay_digest")))
+    once = both.where("copies = 1").unionByName(both.where("copies > 1").dropDuplicates(["own_id", "own_digest"]))
+    return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
