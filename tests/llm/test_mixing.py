@@ -42,6 +42,7 @@ def test_taken_words_meet_the_targets(docs, rows, monkeypatch):
     for s, t in goal.items():
         assert abs(taken[s] - t) <= 1
     key = lambda x: sorted(str(tuple(r)) for r in x)
+    assert all(len(r.shards) <= 2 for r in got)
     assert key(got) == key(M.taken_words(docs.repartition(5)).collect())
 
 
@@ -76,6 +77,19 @@ def test_blocks_of_shards_are_disjoint(docs, monkeypatch):
     assert len({r.shard for r in got}) > 3
 
 
+def test_leaves_decide(docs, monkeypatch):
+    """A leaf of the tree that draws nothing leaves its blocks out of the mix."""
+    monkeypatch.setattr(M, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(M, "SHARD_BLOCKS", 8)
+    right = M.taken_words(docs).collect()
+    shards = {x for r in right for x in r.shards}
+    assert len(shards) > 3 and all((r.taken > 0) == bool(r.shards) and len(r.shards) <= 2 for r in right)
+    quotas = M.shard_quotas
+    monkeypatch.setattr(M, "shard_quotas", lambda q, shard, n, seed: [0] * len(q) if shard == 1 else quotas(q, shard, n, seed))
+    wrong = M.taken_words(docs).collect()
+    assert sum(r.taken for r in wrong) < sum(r.taken for r in right)
+
+
 def test_mixed_documents(docs, rows, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_WORDS", 300)
     _, goal = wanted(rows)

@@ -13,7 +13,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe.columns import col
@@ -93,27 +93,28 @@ def in_blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def taken_blocks(placed: DataFrame, seed: int) -> DataFrame:
-    """``place, pass, block, shard, room, total``: the blocks that the mix takes.
+    """``place, pass, block, shard, room, total``: the blocks that the shards draw.
 
-    ``room`` are the words that may still be taken when the block's turn comes, ``total`` those it has. Blocks are taken whole,
-    but for the one at which their source reaches its target. A target above the source's size takes every block once and
-    then begins a second pass in another order.
+    The blocks of a source stand in an order drawn by chance, each pass in one of its own. Its quota are the blocks up to the one
+    at which it reaches its target; a target above its size takes every block once and goes on in a second pass. The splitting
+    tree shares the quotas out, and each shard draws its run of the order. ``room`` are the words that may still be taken when
+    the block's turn comes, ``total`` those it has.
     """
     sums = placed.groupBy("place", "block").agg(F.sum("size").alias("total"), F.first("target").alias("target"),
-                                                F.first("source_size").alias("source_size"))
+                                                F.first("source_size").alias("source_size")).where("total > 0")
     turns = sums.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
     left = F.round("target") - F.col("pass") * F.col("source_size")
     wanted = F.greatest(F.lit(0.0), F.least(F.col("source_size").cast("double"), left)).cast("long")
-    order = Window.partitionBy("place", "pass").orderBy(F.xxhash64("block", "pass", F.lit(seed)), "block")
-    before = F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = cut(turns.withColumn("room", wanted - before).where("room > 0 and total > 0").select("place", "pass", "block", "room", "total"))
-    return cut(taken.join(shards_of(taken, seed), ["place", "pass", "block"]))
+    order = Window.partitionBy("place").orderBy("pass", F.xxhash64("block", "pass", F.lit(seed)), "block")
+    before = F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("pass") * F.col("source_size")
+    permuted = cut(turns.withColumn("room", wanted - before).withColumn("rank", F.row_number().over(order).cast("long") - 1)
+                   .select("place", "pass", "block", "rank", "room", "total"))
+    quotas = {r["place"]: r["n"] for r in permuted.where("room > 0").groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return cut(permuted.join(shard_runs(placed.sparkSession, quotas, seed), ["place", "rank"]).drop("rank"))
 
 
-def shards_of(taken: DataFrame, seed: int) -> DataFrame:
-    """``place, pass, block, shard``: disjoint runs of permuted blocks by the quotas of the splitting tree."""
-    spark = taken.sparkSession
-    quotas = {r["place"]: r["n"] for r in taken.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
+def shard_runs(spark: SparkSession, quotas: dict[int, int], seed: int) -> DataFrame:
+    """``place, rank, shard``: the disjoint runs of each source's permuted blocks that the leaves of the splitting tree draw."""
     places = sorted(quotas)
     counts = [quotas[p] for p in places]
     shards = max(1, -(-sum(counts) // SHARD_BLOCKS))
@@ -126,11 +127,8 @@ def shards_of(taken: DataFrame, seed: int) -> DataFrame:
 
     drawn = spark.range(shards).mapInPandas(leaves, "place int, shard long, quota long").where("quota > 0")
     ends = Window.partitionBy("place").orderBy("shard")
-    runs = drawn.withColumn("end", F.sum("quota").over(ends)).select(
+    return drawn.withColumn("end", F.sum("quota").over(ends)).select(
         "place", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("rank"))
-    permuted = Window.partitionBy("place").orderBy(F.xxhash64("block", "pass", F.lit(seed), F.lit("deal")), "pass", "block")
-    ranks = taken.select("place", "pass", "block", (F.row_number().over(permuted) - 1).cast("long").alias("rank"))
-    return ranks.join(runs, ["place", "rank"]).select("place", "pass", "block", "shard")
 
 
 def drawn_rows(placed: DataFrame, taken: DataFrame, keep: list[str]) -> DataFrame:
@@ -150,16 +148,20 @@ def drawn_rows(placed: DataFrame, taken: DataFrame, keep: list[str]) -> DataFram
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, repeats: float = 2.0, seed: int = 5) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken``: one row per input row, with the words the mix takes of it.
+    """``doc_id, source, size, source_size, target, taken, shards``: one row per input row, with the words the mix takes of it.
 
+    ``shards`` are the output shards whose blocks hold it, one for each time it is taken.
     Sources are ordered by code point, null last, and weigh ``cycle`` in turn. Null texts have size 0; null ids, repeated rows
     and ties are rows of their own; a single row may be taken in part; an empty table gives no rows; other columns are ignored.
     """
     # repeated rows are told apart by a number of their own, so that each keeps its own words
     rows = cut(docs.select(*sized(docs, id_col, text_col, source_col, seed)).withColumn("row", F.monotonically_increasing_id()))
     placed = in_blocks(rows, source_plan(rows, cycle, share, repeats))
-    words = drawn_rows(placed, taken_blocks(placed, seed), ["row"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return placed.join(words, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    drawn = drawn_rows(placed, taken_blocks(placed, seed), ["row"])
+    words = drawn.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    return placed.join(words, "row", "left").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("shards", F.array().cast("array<long>")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -167,17 +169,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of the mix with all columns of ``docs``: shard by shard, shuffled within each shard.
 
     A row that is taken twice stands there twice; where a source reaches its target inside a row, the text ends there.
-    Rows without words are kept once: they take no part in any weight.
+    Rows without words (null, empty or blank texts) are kept once, spread over the shards: they take no part in any weight.
+    Null ids and repeated rows are rows of their own; an empty table stays empty; rows travel as one struct.
     """
     fields = sized(docs, id_col, text_col, source_col, seed)
     rows = cut(docs.select(*fields))
     plan = source_plan(rows, cycle, share, repeats)
     taken = taken_blocks(in_blocks(rows, plan), seed)
-    placed = in_blocks(docs.select(F.struct(*[col(c) for c in docs.columns]).alias("__row"), *fields), plan)
+    whole = F.struct(*[col(c) for c in docs.columns]).alias("__row")
+    placed = in_blocks(docs.select(whole, *fields, F.monotonically_increasing_id().alias("__at")), plan)
     text = F.col("__row")[text_col]
     parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     ended = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(parts, 1, F.col("words").cast("int")), "")).otherwise(text)
     drawn = drawn_rows(placed, taken, ["__row", "pick", "size"]).select("__row", F.xxhash64("pick", "pass").alias("pick"), "shard", ended.alias("__text"))
-    none = placed.where("size = 0").select("__row", "pick", F.lit(0).cast("long").alias("shard"), text.alias("__text"))
+    shards = (taken.agg(F.max("shard")).first()[0] or 0) + 1
+    none = placed.where("size = 0").select("__row", "pick", F.pmod(F.xxhash64("pick", "__at"), F.lit(shards)).alias("shard"), text.alias("__text"))
     dealt = drawn.unionByName(none).repartition("shard").sortWithinPartitions("shard", "pick")
     return dealt.select(*[(F.col("__text") if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])
