@@ -10,7 +10,7 @@ from queries import query, table
 from trialframe.functions.flatten import flatten_variant
 from trialframe.session import new_shared_path
 from trialframe.sources import catalog, formats, results, tree
-from trialframe.streaming import incremental
+from trialframe.streaming import incremental, views
 
 JOB = "concat('file:/r/my_suite_17/', o_orderpriority, '/run_', o_custkey, '/rep_', o_orderkey, '/'"
 
@@ -240,3 +240,25 @@ def life_cycle_machine_stream(spark, folder):
     steps = incremental.life_cycles(events, ["user_id"], "ts", moves, "2 days", order=["event_id"], state="event_type")
     out = incremental.run_available(steps, "append")
     return out.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "before", "state", "kind")
+
+
+@query("""
+    SELECT event_type, user_id % 5 AS slot, count(v) AS v_count, avg(v) AS v_mean,
+           CAST(min(v) AS DOUBLE) AS v_min, CAST(max(v) AS DOUBLE) AS v_max, round(stddev_samp(v), 6) AS v_std
+    FROM (SELECT event_type, user_id, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY ALL""")
+def results_incremental(spark, folder):
+    events = table(spark, folder, "events").selectExpr(
+        "event_type", "user_id % 5 as slot", "cast(round(value * 100) as bigint) as v", "event_id % 12 as part")
+    target, state = new_shared_path(spark, "results"), new_shared_path(spark, "view")
+    functions = ["count", "mean", "min", "max", "std"]
+
+    def update(rows):
+        # files of the parts that are written again go, with all that they said
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target)
+        schema = rows.drop("part").schema
+        return views.refresh(spark, target, state, views.parquet_rows(spark, schema), schema, ["event_type", "slot"], ["v"], functions, "*.parquet")
+
+    # wrong values and groups in the first parts, then the last parts, then the first ones as they should be
+    update(events.where("part < 8").selectExpr("if(part < 2, 'wrong', event_type) as event_type", "slot", "if(part < 3, v * 1000 - 7, v) as v", "part"))
+    update(events.where("part >= 8"))
+    return update(events.where("part < 3")).withColumn("v_std", F.round("v_std", 6))
