@@ -226,3 +226,37 @@ def test_rolling_by_time_edges(spark, chunked):
     for wrong in ({"window": "1min"}, {"window": "1min", "on": "ts", "closed": "up"}):
         with pytest.raises(ValueError):
             verbs.rolling(df, **wrong)
+
+
+def test_groups_of_long_texts_are_split_by_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trialframe.operators import ordered
+
+    pieces, real = [], ordered.with_chunks
+
+    def chunks(df, order, rows, target, keys=()):
+        done = real(df, order, rows, target, keys)
+        sizes = done.groupBy("__chunk").agg(F.sum(F.octet_length("t"))).collect()
+        pieces.append(max(r[1] for r in sizes))
+        return done
+
+    monkeypatch.setattr(ordered, "with_chunks", chunks)
+    df = spark.range(6000).select("id", (F.col("id") % 10 == 0).cast("int").alias("g"), F.concat(
+        F.lit("a common beginning "), F.lpad(F.xxhash64("id").cast("string"), 20, "0"), F.repeat(F.lit("x"), 960)).alias("t"))
+    spark.conf.set("spark.trialframe.chunkRows", "1000000")
+    spark.conf.set("spark.trialframe.chunkBytes", "600000")
+    try:
+        whole = positions(df, [], ["t", "id"], "n").select("id", "g", "n").toPandas().sort_values("n")
+        assert pieces and max(pieces) < 1_500_000
+        parts = positions(df, ["g"], ["t", "id"], "n").select("id", "g", "n").toPandas().sort_values("n")
+        # 600 rows hold less than the bound, 5,400 do not
+        assert len(pieces) == 2 and max(pieces) < 1_500_000
+    finally:
+        spark.conf.unset("spark.trialframe.chunkRows")
+        spark.conf.unset("spark.trialframe.chunkBytes")
+    want = df.toPandas().sort_values(["t", "id"])
+    assert whole["id"].tolist() == want["id"].tolist() and whole["n"].tolist() == list(range(6000))
+    for g in (0, 1):
+        own = parts[parts["g"] == g]
+        assert own["id"].tolist() == want[want["g"] == g]["id"].tolist() and own["n"].tolist() == list(range(len(own)))

@@ -1,9 +1,9 @@
 """Ordered computations (running values, offsets, frames, positions) that hold when one group is huge.
 
 A plain window sends a whole group to one task. That is fine for groups of bounded size, and Spark does the rest.
-A group above the bound (``spark.trialframe.chunkRows``) is cut into consecutive chunks along its order: chunk borders are
-quantiles of the order columns over the rows of such groups, so a group with a third of all rows is spread over many chunks. Every chunk is processed on its own, and a small table
-with one row per (group, chunk) carries totals forward.
+A group above a bound in rows (``spark.trialframe.chunkRows``) or in bytes of texts (``spark.trialframe.chunkBytes``) is cut into
+consecutive chunks along its order: chunk borders are quantiles of the order columns over the rows of such groups, so a group
+with a third of all rows is spread over many chunks. Every chunk is processed on its own, and a small table with one row per (group, chunk) carries totals forward.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trialframe.columns import as_list, col, key_struct
+from trialframe.columns import as_list, col, is_nested, key_struct
 from trialframe.session import cut, settled
 
 DEFAULT_CHUNK_ROWS = 1_000_000
+DEFAULT_CHUNK_BYTES = 64 << 20
+#: so few rows are not measured
+FEW_ROWS = 1_000
 BROADCAST_GROUPS = 20_000
 CHUNK = "__chunk"
 PLACE = "__place"
@@ -66,6 +70,38 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.trialframe.chunkRows", str(DEFAULT_CHUNK_ROWS)))
 
 
+def chunk_bytes(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.trialframe.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
+
+
+def wide_bytes(df: DataFrame) -> Column | None:
+    """Bytes of a row in columns of any length, nested ones as JSON; None without such columns."""
+    parts = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.octet_length(col(f.name)))
+        elif is_nested(f.dataType):
+            parts.append(F.octet_length(F.to_json(F.struct(col(f.name)))))
+    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0).cast("bigint")) if parts else None
+
+
+def measured(df: DataFrame, names: Sequence[str], rows: int | None) -> tuple[int, int]:
+    """Rows of a frame, and the bytes of its columns of any length (0 for few rows)."""
+    width = wide_bytes(df)
+    if width is None:
+        return (count_rows(df, names) if rows is None else rows), 0
+    if rows is None:
+        rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+        return rows, (size or 0) if rows > FEW_ROWS else 0
+    return rows, (df.agg(F.sum(width)).first()[0] or 0) if rows > FEW_ROWS else 0
+
+
+def rows_in_bounds(df: DataFrame, rows: int, size: int) -> int:
+    """Rows of which one task holds no more than both bounds allow, at the frame's average width."""
+    target, limit = chunk_rows(df), chunk_bytes(df)
+    return target if size <= limit else max(1, min(target, rows * limit // size))
+
+
 def count_rows(df: DataFrame, names: Sequence[str]) -> int:
     return df.select(*[col(n) for n in names]).count()
 
@@ -86,24 +122,27 @@ def with_chunks(df: DataFrame, order, rows: int, target: int, keys: Sequence[str
     return cut(ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")).drop("__tie"))
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], rows: int, target: int) -> tuple[DataFrame, int]:
-    """Keys of the groups above ``target`` rows, and how many rows they hold together.
+def large_groups(df: DataFrame, keys: Sequence[str], target: int, limit: int) -> tuple[DataFrame, int, int]:
+    """Keys of the groups above ``target`` rows or ``limit`` bytes, and how many rows and bytes they hold together.
 
     Sizes are counted with partial sums per task. The list is marked for a broadcast only while it is short.
     """
-    sizes = df.groupBy(key_struct(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("__size"))
-    found = cut(sizes.filter(F.col("__size") > target))
-    n, held = found.agg(F.count(F.lit(1)), F.sum("__size")).first()
+    width = wide_bytes(df)
+    sizes = df.groupBy(key_struct(keys).alias(GROUP)).agg(
+        F.count(F.lit(1)).alias("__size"), (F.lit(0).cast("bigint") if width is None else F.sum(width)).alias("__bytes"))
+    many = (F.col("__size") > target) | ((F.col("__bytes") > limit) & (F.col("__size") > min(target, FEW_ROWS)))
+    found = cut(sizes.filter(many))
+    n, held, size = found.agg(F.count(F.lit(1)), F.sum("__size"), F.sum("__bytes")).first()
     listed = found.select(GROUP, F.lit(True).alias(LARGE))
-    return F.broadcast(listed) if n <= BROADCAST_GROUPS else listed, held or 0
+    return F.broadcast(listed) if n <= BROADCAST_GROUPS else listed, held or 0, size or 0
 
 
-def in_bounds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+def in_bounds(df: DataFrame, keys: Sequence[str], rows: int, size: int | None = None) -> bool:
     """Can every group be left to one task?"""
-    target = chunk_rows(df)
-    if rows <= target:
+    target, limit = chunk_rows(df), chunk_bytes(df)
+    if rows <= target and (measured(df, keys, rows)[1] if size is None else size) <= limit:
         return True
-    return bool(keys) and large_groups(df, keys, rows, target)[1] == 0
+    return bool(keys) and large_groups(df, keys, target, limit)[1] == 0
 
 
 # ---------------------------------------------------------------- running values
@@ -154,23 +193,27 @@ def running(
 ) -> DataFrame:
     """Add running values per group in the given order (from its end with ``reverse``)."""
     names = [k.name for k in order_keys(order)]
-    target = chunk_rows(df)
-    rows = count_rows(df, names) if rows is None else rows
-    split = rows > target
+    rows, size = measured(df, names, rows)
+    split = rows > chunk_rows(df) or size > chunk_bytes(df)
     group = [col(k) for k in keys]
     if split:
         df = settled(df)
         if keys:
-            found, large_rows = large_groups(df, keys, rows, target)
-            split = large_rows > 0
+            found, rows, size = large_groups(df, keys, chunk_rows(df), chunk_bytes(df))
+            split = rows > 0
     if split:
+        target = rows_in_bounds(df, rows, size)
         if keys:
             marked = df.withColumn(GROUP, key_struct(keys)).join(found, GROUP, "left").drop(GROUP)
-            large = with_chunks(marked.filter(F.col(LARGE)), order, large_rows, target, keys)
+            large = with_chunks(marked.filter(F.col(LARGE)), order, rows, target, keys)
             df = large.unionByName(marked.filter(F.col(LARGE).isNull()).withColumn(CHUNK, F.lit(0).cast("bigint")))
         else:
             df = with_chunks(df, order, rows, target).withColumn(LARGE, F.lit(True))
         df = df.withColumn("__part", key_struct([*keys, CHUNK]))
+        pieces = -(-rows // target)
+        if 4 * pieces > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            # fewer tasks than chunks would hold several chunks each
+            df = df.repartition(4 * pieces, F.col("__part"))
         group = [F.col("__part")]
     full = Window.partitionBy(*group).orderBy(*sort_columns(order, reverse))
     upto = full.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -244,13 +287,13 @@ def framed(
     block sees its whole neighbourhood, and the copies are removed afterwards.
     """
     names = [k.name for k in order_keys(order)]
-    rows = count_rows(df, names) if rows is None else rows
-    if rows > chunk_rows(df):
+    rows, held = measured(df, names, rows)
+    if rows > chunk_rows(df) or held > chunk_bytes(df):
         df = settled(df)
-    if in_bounds(df, keys, rows):
+    if in_bounds(df, keys, rows, held):
         window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*sort_columns(order))
         return df.withColumns(build(window))
-    size = max(chunk_rows(df), behind, ahead, 1)
+    size = max(rows_in_bounds(df, rows, held), behind, ahead, 1)
     placed = positions(df, keys, order, rows=rows)
     inner = F.col(PLACE) % F.lit(size)
     home = F.floor(F.col(PLACE) / F.lit(size)).cast("bigint")
