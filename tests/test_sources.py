@@ -200,3 +200,11 @@ def test_no_warning_without_errors(spark, tree):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         results.extract(spark, str(tree.root), "my_suite", "$expected", ["exp"], SPEC)
+
+
+def test_documents_of_one_file_are_parsed_by_all_tasks(spark):
+    docs = spark.range(4000, numPartitions=1).selectExpr("id", "concat('a: ', id) as content")
+    records = formats.yaml_records(docs)
+    tasks = records.select(F.spark_partition_id().alias("p"), F.variant_get("record", "$.a", "bigint").alias("a"), "id").toPandas()
+    assert tasks["p"].nunique() > 4 and tasks["p"].value_counts().max() < 1000
+    assert (tasks["a"] == tasks["id"]).all() and len(tasks) == 4000

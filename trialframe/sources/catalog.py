@@ -68,7 +68,7 @@ def design_factors(designs: DataFrame) -> DataFrame:
 
     import pandas as pd
 
-    from trialframe.sources.formats import load_yaml
+    from trialframe.sources.formats import load_yaml, spread
 
     def walk(node, path=()):
         for key, value in node.items():
@@ -89,7 +89,7 @@ def design_factors(designs: DataFrame) -> DataFrame:
                         rows.append((name, suite_id, exp, i, list(path), json.dumps(value, default=str)))
             yield pd.DataFrame(rows, columns=["suite_name", "suite_id", "exp_name", "place", "path", "value"])
 
-    paths = designs.mapInPandas(
+    paths = spread(designs).mapInPandas(
         parse, "suite_name string, suite_id string, exp_name string, place int, path array<string>, value string")
     return factor_names(paths, ["suite_name", "suite_id", "exp_name"])
 
