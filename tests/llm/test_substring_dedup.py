@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from trialframe.llm import substring_dedup as S
@@ -52,3 +53,16 @@ def test_frequent_prefixes_are_split(docs, rows, monkeypatch):
 
 def test_empty(nothing):
     assert S.repeated_spans(nothing).count() == 0
+
+
+def test_orders_by_single_sorts_equal_the_lexical_ones():
+    rng = np.random.default_rng(1)
+    for labels in (1 << 60, 40, 1):
+        first = rng.integers(0, labels, 500).astype(np.uint64)
+        for second in (first * np.uint64(3), rng.integers(0, 3, 500).astype(np.uint64)):
+            assert (S.by_label(first, second) == np.lexsort((second, first))).all()
+    for buckets in (1, 64, 70_000):
+        one = rng.permutation(900)[:500]
+        bucket = rng.integers(0, buckets, 500)
+        assert (S.by_bucket(one, bucket, 900) == np.lexsort((one, bucket))).all()
+    assert len(S.by_bucket(one[:0], bucket[:0], 900)) == len(S.by_label(first[:0], first[:0])) == 0
